@@ -43,9 +43,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(rows, F.col("query"), [("score", True), ("source", False), ("chunk_index", False), ("result_id", False)], "result_id", 5)
 
 
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.leakage import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_balanced": p4_balanced,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
 }
 SQL: dict[str, str] = oracles.SQL
