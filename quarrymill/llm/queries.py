@@ -18,6 +18,16 @@ def countable(results: DataFrame) -> DataFrame:
     return results.where(F.col("query").isNotNull() & F.col("source").isNotNull() & score.isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf")))
 
 
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_items(spark, sf_dir).withColumnRenamed("item_id", "id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.neardup import alike, all_pairs
+
+    return all_pairs(*alike(p1_texts(spark, sf_dir)))
+
+
 def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "kb_documents").select(F.lit("file").alias("kind"), F.col("file_id").alias("item_id"), F.col("content").alias("text"))
     chunks = table(spark, sf_dir, "kb_chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("item_id"), "text")
@@ -54,6 +64,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_balanced": p4_balanced,
     "p5_found": p5_found,
