@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from quarrymill.session import written
 
 _OTHER = re.compile(r"[\W_]+")
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_SPAN = 1 << 19  # characters hashed at a time
+_BASE = np.uint32(0x9E3779B1)
+_SPAN = 1 << 17  # characters looked at together
 MARGIN = 64
 
 
@@ -69,7 +70,7 @@ def leaks(
     for k in range(passes):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k) if passes > 1 else grams
         wanted = [r.gram for r in own.select("gram").distinct().toLocalIterator()]
-        found = documents.select("doc_id", "text").where(F.length("text") > 0).mapInArrow(_finder(wanted), "doc bigint, copy bigint, near string, grams array<string>")
+        found = documents.select("doc_id", F.xxhash64("text").alias("copy"), "text").where(F.length("text") > 0).mapInArrow(_finder(wanted), "doc bigint, copy bigint, near string, grams array<string>")
         hits = found if hits is None else hits.unionByName(found)
     hits = written(hits, "leak-hits")
 
@@ -114,85 +115,87 @@ def _rare(share: float):
     return choose
 
 
-def _hashes(codes: np.ndarray, spans: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    powers, inverses = _powers(len(codes) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * powers[: len(codes)], dtype=np.uint64)))
-    for span in spans:
-        if len(codes) >= span:
-            yield span, (sums[span:] - sums[:-span]) * inverses[: len(codes) - span + 1]
-
-
-_cached: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if not _cached or len(_cached[0]) < n:
-        with np.errstate(over="ignore"):
-            _cached[:] = [np.cumprod(np.concatenate(([1], np.full(n - 1, b, np.uint64))).astype(np.uint64), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _cached
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _strided(codes: np.ndarray, run: int, step: int) -> np.ndarray:
+    """Hashes of the runs that start at 0, step, 2 * step ..."""
+    n = max(0, (len(codes) - run) // step + 1)
+    out = np.zeros(n, np.uint32)
+    for k in range(run):
+        out *= _BASE
+        out += codes[k::step][:n]
+    return out * _BASE
+
+
 def _finder(grams: list[str]):
+    # Of a stretch of `span` characters, one of the runs of length `run` that start at multiples of `step` lies within
+    # it if run + step - 1 <= span; looking up these alone shows which texts may hold a gram at all.
     by_span: dict[int, list[str]] = {}
     for g in grams:
         by_span.setdefault(len(g), []).append(g)
-    known = {}
+    probes = []
     for span, own in by_span.items():
-        known[span] = np.unique(np.concatenate([h for _, h in _hashes(_codes("".join(own)), [span])])[::span])
-    spans, exact = sorted(known), set(grams)
+        run = span - span // 2 if span > 16 else span - span // 3
+        runs = np.unique(np.concatenate([_strided(_codes("".join(own))[k:], run, span) for k in range(span - run + 1)]))
+        probes.append((run, span - run + 1, runs))
+    exact = {span: set(own) for span, own in by_span.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {}  # a first, coarse test: most runs fall out here
-        for span, hashes in known.items():
-            bits[span] = np.zeros(1 << 22, bool)
-            bits[span][hashes >> np.uint64(42)] = True
-        copy = 0
+        kept = _letter_table()
+        coarse = []
+        for _, _, runs in probes:
+            coarse.append(np.zeros(1 << 20, bool))
+            coarse[-1][runs >> 12] = True
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out, at = [], 0
-            while at < len(ids):
+            texts, out, at = batch.column(2).to_pylist(), [], 0
+            while at < len(texts):
                 first, group, chars = at, [], 0
-                while at < len(ids) and (not group or chars < _SPAN):
-                    group.append(letters(texts[at]))
-                    chars += len(group[-1]) + 1
+                while at < len(texts) and (not group or chars < _SPAN):
+                    group.append(_folded(texts[at]))
+                    chars += len(group[-1])
                     at += 1
-                for i, near, found in _held("\0".join(group), group, spans, known, bits, exact):
-                    copy += 1
-                    out.append((ids[first + i], copy, near, found))
+                out += [(first + i, *held) for i, held in _held(group, probes, coarse, exact, kept)]
+            rows = pa.array([r[0] for r in out], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out], pa.list_(pa.string()))],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.list_(pa.string()))],
                 names=["doc", "copy", "near", "grams"],
             )
 
     return find
 
 
-def _held(joined: str, group: list[str], spans: list[int], known: dict, bits: dict, exact: set[str]) -> Iterator[tuple[int, str, list[str]]]:
+def _folded(text: str) -> str:
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower().replace("\0", " ")
+
+
+@lru_cache(1)
+def _letter_table() -> np.ndarray:
+    """Which code points are letters or digits; 0, which parts the texts of a group, stays too."""
+    table = np.array([chr(c).isalnum() for c in range(0x110000)])
+    table[0] = True
+    return table
+
+
+def _held(group: list[str], probes: list, coarse: list[np.ndarray], exact: dict[int, set[str]], kept: np.ndarray) -> Iterator[tuple[int, tuple[str, list[str]]]]:
     """Of each text that holds item grams: its place in the group, the part around them and the grams."""
-    starts = np.cumsum([0, *[len(t) + 1 for t in group]])
-    codes, found = _codes(joined), []
-    for low in range(0, len(codes), _SPAN):
-        for span, hashes in _hashes(codes[low : low + _SPAN + spans[-1] - 1] if spans else codes[:0], spans):
-            maybe = np.flatnonzero(bits[span][hashes >> np.uint64(42)])
-            place = np.searchsorted(known[span], hashes[maybe])
-            place[place == len(known[span])] = 0
-            found += [(int(p), span) for p in maybe[known[span][place] == hashes[maybe]] + low]
-    if not found:
-        return
-    by_text: dict[int, list[tuple[int, str]]] = {}
-    texts = np.searchsorted(starts, [p for p, _ in found], side="right") - 1
-    for (p, span), i in zip(found, texts.tolist()):
-        here = p - int(starts[i])
-        gram = group[i][here : here + span]
-        if gram in exact:
-            by_text.setdefault(i, []).append((here, gram))
-    for i, own in by_text.items():
-        low, high = min(p for p, _ in own), max(p + len(g) for p, g in own)
-        yield i, group[i][max(0, low - MARGIN) : high + MARGIN], list({g for _, g in own})
+    codes = _codes("\0".join(group))
+    codes = codes[kept[codes]]
+    ends = np.append(np.flatnonzero(codes == 0), len(codes))
+    touched: set[int] = set()
+    for (run, step, runs), table in zip(probes, coarse):
+        hashes = _strided(codes, run, step)
+        maybe = np.flatnonzero(table[hashes >> 12])
+        place = np.minimum(np.searchsorted(runs, hashes[maybe]), len(runs) - 1)
+        met = maybe[runs[place] == hashes[maybe]] * step
+        touched.update(np.searchsorted(ends, met).tolist())
+    for i in sorted(touched):
+        text = codes[ends[i - 1] + 1 if i else 0 : ends[i]].tobytes().decode("utf-32-le", "surrogatepass")
+        own = [(p, text[p : p + span]) for span, grams in exact.items() for p in range(len(text) - span + 1) if text[p : p + span] in grams]
+        if own:
+            low, high = min(p for p, _ in own), max(p + len(g) for p, g in own)
+            yield i, (text[max(0, low - MARGIN) : high + MARGIN], list({g for _, g in own}))
 
 
 def _align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
