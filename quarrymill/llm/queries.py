@@ -34,6 +34,18 @@ def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(chunks)
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.nearest import nearest
+
+    return nearest(table(spark, sf_dir, "chunk_vectors"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.nearest import pairs
+
+    return pairs(p3_neighbours(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.pieces import pieces
 
@@ -65,6 +77,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p4_found": p4_found,
     "p4_balanced": p4_balanced,
     "p5_found": p5_found,
