@@ -5,12 +5,15 @@ that many bins (one-permutation hashing), so that two texts differ in a symbol w
 Signatures are joined by a multi-index Hamming join: two signatures that differ in at most `chunks * (errors + 1) - 1`
 symbols have, by pigeonhole, a chunk with no more than `errors` differences. Each chunk is entered once for every choice
 of `errors` symbols to leave out, and texts that share an entry are candidates. All pairs within that distance are
-found; most pairs beyond it are too. Candidates are thinned by a 60-bit sketch and then compared exactly.
+found; most pairs beyond it are too. Candidates are thinned by a sketch (4 bits of each symbol) and compared exactly.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -19,17 +22,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import BLANK
 from quarrymill.session import bounded_broadcast, written
 
 _BASE = 0x9E3779B97F4A7C15
 _SPAN = 1 << 18
 _EMPTY = np.uint32(0xFFFFFFFF)
+PLANES = 4
+_PLANE = [f"plane{k}" for k in range(PLANES)]
 
 
-def canonical(text: Column) -> Column:
-    """Lower case without white space and punctuation (Unicode P*)."""
-    return F.regexp_replace(F.lower(text), rf"(?:\p{{P}}|{BLANK})+", "")
+@lru_cache(1)
+def _kept() -> np.ndarray:
+    """Which code points stay in a canonical text."""
+    return np.array([not (chr(c).isspace() or unicodedata.category(chr(c))[0] == "P") for c in range(0x110000)])
+
+
+def canonical(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in lower case without white space and punctuation (Unicode P*), and where each begins and ends."""
+    lower = [t.lower() for t in texts]
+    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kept = _kept()[codes]
+    before = np.concatenate(([0], np.cumsum(kept)))
+    return codes[kept], before[np.cumsum([0, *map(len, lower)])]
 
 
 def run_hashes(codes: np.ndarray, run: int) -> np.ndarray:
@@ -48,34 +62,35 @@ def run_hashes(codes: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def _signer(run: int, bins: int):
+def _signer(run: int, least: int, bins: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rows, at = batch.column(batch.num_columns - 1).to_pylist(), [], 0
+            texts, at = batch.column(2).to_pylist(), 0
             while at < len(texts):
                 first, chars = at, 0
                 while at < len(texts) and (at == first or chars < _SPAN):
                     chars += len(texts[at])
                     at += 1
-                rows.append(_signatures(texts[first:at], run, bins))
-            symbols = np.concatenate(rows) if rows else np.zeros((0, bins), np.uint32)
-            bits = (symbols[:, :60] & 1).astype(np.int64)
-            sketch = (bits << np.arange(bits.shape[1])).sum(axis=1)
-            flat = pa.array((symbols >> np.uint32(1) & np.uint32(0xFFFF)).astype(np.int32).ravel())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sketch, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(symbols) + 1, dtype=np.int32) * bins), flat)],
-                names=[*batch.schema.names[:-1], "sketch", "symbols"],
-            )
+                codes, bounds = canonical(texts[first:at])
+                long = np.flatnonzero(np.diff(bounds) >= least)
+                same = [md5(codes[bounds[i] : bounds[i + 1]]).digest() for i in long]
+                symbols = _signatures(codes, bounds, run, bins)[long]
+                planes = [((symbols >> np.uint32(k) & 1).astype(np.int64) << np.arange(bins)).sum(axis=1) for k in range(PLANES)]
+                flat = pa.array((symbols & np.uint32(0xFFFF)).astype(np.int32).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(symbols) + 1, dtype=np.int32) * bins), flat)
+                rows = pa.array(long + first, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(same, pa.binary()), *[pa.array(p, pa.int64()) for p in planes], lists],
+                    names=["kind", "id", "same", *_PLANE, "symbols"],
+                )
 
     return sign
 
 
-def _signatures(texts: list[str], run: int, bins: int) -> np.ndarray:
-    least = np.full(len(texts) * bins, _EMPTY, np.uint32)
-    size = np.array([len(t) for t in texts])
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), size)
-    ends = np.cumsum(size)
+def _signatures(codes: np.ndarray, bounds: np.ndarray, run: int, bins: int) -> np.ndarray:
+    n, ends = len(bounds) - 1, bounds[1:]
+    least = np.full(n * bins, _EMPTY, np.uint32)
+    owner = np.repeat(np.arange(n), np.diff(bounds))
     for low in range(0, len(codes), _SPAN):
         part = codes[low : low + _SPAN + run - 1]
         hashes = run_hashes(part, run)
@@ -84,7 +99,7 @@ def _signatures(texts: list[str], run: int, bins: int) -> np.ndarray:
         hashes, own = hashes[whole], own[whole]
         where = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(least, own * bins + where, (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    grid = least.reshape(len(texts), bins)
+    grid = least.reshape(n, bins)
     for step in range(1, bins):  # an empty bin takes the value of the next full one, changed by the distance
         empty = grid == _EMPTY
         if not empty.any() or empty.all(axis=1).any():
@@ -96,10 +111,10 @@ def _signatures(texts: list[str], run: int, bins: int) -> np.ndarray:
 
 
 def signed(texts: DataFrame, run: int, least: int, bins: int) -> DataFrame:
-    """kind, id, same (equal for equal canonical texts), sketch and symbols of every text with at least `least` characters."""
-    plain = texts.select("kind", "id", canonical(F.col("text")).alias("plain")).where(F.length("plain") >= max(least, run))
-    keyed = plain.select("kind", "id", F.md5("plain").alias("same"), "plain")
-    return keyed.mapInArrow(_signer(run, bins), "kind string, id bigint, same string, sketch bigint, symbols array<int>")
+    """kind, id, same (equal for equal canonical texts), sketch and symbols of every text with at least `least` canonical characters."""
+    planes = ", ".join(f"{p} bigint" for p in _PLANE)
+    long = texts.select("kind", "id", "text").where(F.length("text") >= max(least, run) // 3)  # lower case makes one character three at most
+    return long.mapInArrow(_signer(run, max(least, run), bins), f"kind string, id bigint, same binary, {planes}, symbols array<int>")
 
 
 def entries(signs: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
@@ -120,7 +135,7 @@ def alike(
     chunks: int = 12,
     width: int = 5,
     errors: int = 1,
-    sketch_distance: int = 24,
+    sketch_distance: int = 35,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of `texts` with the columns kind, id and text, all other columns being ignored.
 
@@ -128,23 +143,21 @@ def alike(
     different texts whose sets of character runs have a Jaccard similarity of at least `similarity`. Texts that are
     null, empty or shorter than `least` canonical characters are in neither; an id that comes twice counts once.
 
-    Two texts at the similarity s differ in a sketch bit with the probability (1 - s) / 2, so the sketch loses fewer
-    than one in two thousand pairs at 0.6 and none to speak of above.
+    Two texts at the similarity s differ in a symbol of the sketch (4 bits) with the probability 15/16 (1 - s), so that
+    of pairs at 0.6 fewer than one in two thousand have more than `sketch_distance` of 60, and none to speak of above.
+    A signature has at most 63 symbols, as many as the sketch's numbers have bits.
     """
     signs = written(signed(texts, run, least, chunks * width), "signatures")
     reps = signs.groupBy("kind", "same").agg(F.min("id").alias("rep"))
     members = signs.select("kind", "id", "same").join(reps, ["kind", "same"]).select("kind", "id", "rep").distinct()
-    distinct = written(signs.join(reps, ["kind", "same"]).where(F.col("id") == F.col("rep")).dropDuplicates(["kind", "rep"]).select("kind", "rep", "sketch", "symbols"), "distinct-signatures")
+    distinct = written(signs.join(reps, ["kind", "same"]).where(F.col("id") == F.col("rep")).select("kind", "rep", *_PLANE, "symbols"), "distinct-signatures")
 
     found = entries(distinct.withColumn("rep", _packed()), chunks, width, errors)
     left, right = found.alias("a"), found.alias("b")
     met = left.join(right, F.col("a.entry") == F.col("b.entry")).where("a.rep < b.rep").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    sketches = distinct.select(_packed().alias("rep"), "sketch")
-    near = (
-        met.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        .where(F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= sketch_distance)
-    )
+    sketch = lambda side: distinct.select(_packed().alias(side), *[F.col(p).alias(f"{p}_{side}") for p in _PLANE])
+    differ = reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")) for p in _PLANE])
+    near = met.join(sketch("a"), "a").join(sketch("b"), "b").where(F.bit_count(differ) <= sketch_distance)
     pairs = written(near.select("a", "b"), "near-pairs")
     return members, _verified(texts, pairs, similarity, run)
 
@@ -156,7 +169,7 @@ def _packed() -> Column:
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, run: int) -> DataFrame:
     ids = bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    plain = texts.withColumn("rep", F.col("id")).select(_packed().alias("rep"), "text").join(ids, "rep", "left_semi").select("rep", canonical(F.col("text")).alias("plain"))
+    plain = texts.select(F.col("kind"), F.col("id").alias("rep"), "text").select(_packed().alias("rep"), F.col("text").alias("plain")).join(ids, "rep", "left_semi")
     both = (
         bounded_broadcast(pairs).join(plain.select(F.col("rep").alias("a"), F.col("plain").alias("plain_a")), "a")
         .join(plain.select(F.col("rep").alias("b"), F.col("plain").alias("plain_b")), "b")
@@ -167,17 +180,20 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, run: int) -
 
 
 def _checker(similarity: float, run: int):
-    def runs(text: str) -> np.ndarray:
-        return np.unique(run_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), run))
+    def runs(texts: pd.Series) -> list[np.ndarray]:
+        codes, bounds = canonical(list(texts))
+        return [np.unique(run_hashes(codes[a:b], run)) for a, b in zip(bounds, bounds[1:])]
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = np.zeros(len(f), bool)
-            for i, (a, b) in enumerate(zip(f["plain_a"], f["plain_b"])):
-                x, y = runs(a), runs(b)
-                common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                keep[i] = common >= similarity * (len(x) + len(y) - common)
-            yield f.loc[keep, ["a", "b"]]
+        for frame in frames:
+            for low in range(0, len(frame), 256):
+                f = frame.iloc[low : low + 256]
+                keep = np.zeros(len(f), bool)
+                for i, (x, y) in enumerate(zip(runs(f["plain_a"]), runs(f["plain_b"]))):
+                    if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                        common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                        keep[i] = common >= similarity * (len(x) + len(y) - common)
+                yield f.loc[keep, ["a", "b"]]
 
     return check
 
