@@ -75,6 +75,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.mixing import mix, unreachable
+
+    return unreachable(mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
+
+
+def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.mixing import copies, mix
+
+    return copies(mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).rates)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -84,5 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_draw": p7_draw,
 }
 SQL: dict[str, str] = oracles.SQL
