@@ -93,6 +93,16 @@ def p7_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).rates)
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.reading import reading_levels
+
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -105,5 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_draw": p7_draw,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
 }
 SQL: dict[str, str] = oracles.SQL
