@@ -34,6 +34,12 @@ def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(chunks)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.sentences import sentences
+
+    return sentences(table(spark, sf_dir, "kb_documents"), "file_id", "content")
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.nearest import nearest
 
@@ -105,6 +111,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p4_found": p4_found,
