@@ -135,6 +135,7 @@ def cuts(text: str, kind: str, blanks: bool) -> list[Cut]:
     german = "„" in text
     skip = len(_ITEM.match(text)[0]) - 1 if kind == "item" and _ITEM.match(text) else 0
     cjk = len(_CJK.findall(text)) * 3 > len(text)
+    cased = sum(c.isalpha() and c.lower() == c.upper() for c in text) * 4 < len(text)
     for low, high, blank in found:
         if high < skip:
             continue
@@ -153,7 +154,7 @@ def cuts(text: str, kind: str, blanks: bool) -> list[Cut]:
         scanned = max(scanned, end)
         if end >= len(text.rstrip()):
             continue
-        cut = _cut(text, low, end, blank, closed, bracket, cjk)
+        cut = _cut(text, low, end, blank, closed, bracket, cjk, cased)
         if cut:
             cut.state = (tuple(c for c, _ in open_at), quoted)
             out.append(cut)
@@ -175,7 +176,7 @@ def _note(c: str, at: int, open_at: list, quoted: bool, german: bool) -> bool:
     return quoted
 
 
-def _cut(text: str, low: int, end: int, blank: str, closed: bool, bracket: int, cjk: bool) -> Cut | None:
+def _cut(text: str, low: int, end: int, blank: str, closed: bool, bracket: int, cjk: bool, cased: bool) -> Cut | None:
     run, before, after = text[low:end], text[low - 1] if low else "", text[end]
     if not blank:
         if _GOES_ON.match(text, end):
@@ -189,7 +190,7 @@ def _cut(text: str, low: int, end: int, blank: str, closed: bool, bracket: int,
                 pass
             elif glued and (after.isupper() or after in _OPENERS or after.isdigit() and marks != "." or after.islower() and not _EXTENSION.match(text, end)):
                 pass
-            elif not (cjk and before.isalnum() and after.isupper() and text[end + 1 : end + 2].islower()):
+            elif not (cjk and before.isalnum() and (after in "“「『《（" or after.isupper() and text[end + 1 : end + 2].islower())):
                 return None
         mark = "~" if ellipsis else "。" if full else "." if set(marks) == {"."} else "!"
     else:
@@ -204,9 +205,9 @@ def _cut(text: str, low: int, end: int, blank: str, closed: bool, bracket: int,
     head = text[first : first + 1]
     opening = _opening(text, first)
     lower = head.islower() and not (word and any(c.isupper() for c in word[0]))
-    shape = "l" if lower and first == start else "u" if head.isupper() or lower or first > start else "9" if head.isdigit() else "-"
+    shape = "-" if lower and not cased else "l" if lower and first == start else "u" if head.isupper() or lower or first > start else "9" if head.isdigit() else "-"
     tail = text[max(0, low - 24) : low]
-    closing = tail[-2:] if _NO_BLANK.match(before) else (re.search(r"[^\s(（\[\"“«]*$", tail) or [""])[0]
+    closing = tail[-3:] if _NO_BLANK.match(before) else (re.search(r"[^\s(（\[\"“«]*$", tail) or [""])[0]
     if closing.isdigit():
         closing = "9"
     return Cut(end, start, mark, closing, opening, shape, closed, bracket, ())
@@ -253,7 +254,7 @@ def _weights(text: str, cut: Cut, habits: Habits) -> tuple[float, float]:
         role = cut.mark + ("q" if cut.closed else "")
         habit = habits("end" + role, cut.close)
         close += max(-1.0, habit) if cut.mark == "." and len(cut.close) >= 5 and not cut.closed else habit  # too long for an abbreviation
-        begin += habits("start", cut.open)
+        begin += 0 if cut.open == "9" else habits("start", cut.open)  # numbers follow abbreviations more often than they begin
     if cut.closed and cut.open in RESUMING:
         begin -= 6
     return close, begin
