@@ -39,3 +39,41 @@ def terms(text: Column) -> Column:
         return F.when(~run.rlike(f"^{HAN}"), F.array(F.lower(run))).when(F.length(run) < 2, none).otherwise(pairs)
 
     return F.flatten(F.transform(runs, of_run))
+
+
+def plain_markdown(text: Column) -> Column:
+    """Without images, links as their text, no more than one empty line in a row, and stripped."""
+    bare = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", "")
+    linked = F.regexp_replace(bare, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return strip(F.regexp_replace(linked, r"\n{3,}", "\n\n"))
+
+
+def token_estimate(text: Column) -> Column:
+    """A third of the UTF-8 bytes, at least 1; 0 for the empty text."""
+    return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.expr("1") * F.floor(F.octet_length(text) / 3).cast("int")))
+
+
+def slug(text: Column, longest: int = 30) -> Column:
+    """The first line, 80 characters at most, in lower case with runs of other than word characters as one dash."""
+    line = F.left(F.split(strip(text), "\n", 2)[0], F.lit(80))
+    return F.left(F.btrim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}_]+", "-"), F.lit("-")), F.lit(longest))
+
+
+def session_date(stem: Column) -> Column:
+    """The date a session's file name begins with, or an empty text."""
+    return F.when(stem.rlike(r"^\d{4}-\d{2}-\d{2}-.+-\d{6}$") | (F.length(stem) >= 10) & stem.rlike(r"^\d{4}-"), F.left(stem, F.lit(10))).otherwise("")
+
+
+def session_slug(stem: Column) -> Column:
+    """What a session's file name says between date and time; the whole name if it has no date."""
+    full = F.regexp_extract(stem, r"^\d{4}-\d{2}-\d{2}-(.+)-\d{6}$", 1)
+    return F.when(full != "", full).when((F.length(stem) >= 10) & stem.rlike(r"^\d{4}-"), F.substring(stem, 12, 1 << 30)).otherwise(stem)
+
+
+def occurrences(text: Column, word: Column) -> Column:
+    """How often a word stands in a text, without overlap."""
+    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
+
+
+def piece_of_context(source: Column, text: Column) -> Column:
+    return F.concat(F.lit("[来源: "), source, F.lit("]\n"), text)
