@@ -31,12 +31,13 @@ def terms(text: Column) -> Column:
 
     A Han run of one character gives no term; null gives null.
     """
-    runs = F.regexp_extract_all(F.regexp_replace(text, f"({HAN}+)", " $1 "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(rf"{HAN}+|[\p{{L}}\p{{N}}&&[^{HAN[1:]}]+"), F.lit(0))
 
     def of_run(run: Column) -> Column:
+        first = F.ascii(run)
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         none = F.array().cast("array<string>")
-        return F.when(~run.rlike(f"^{HAN}"), F.array(F.lower(run))).when(F.length(run) < 2, none).otherwise(pairs)
+        return F.when(~first.between(0x3400, 0x9FFF), F.array(F.lower(run))).when(F.length(run) < 2, none).otherwise(pairs)
 
     return F.flatten(F.transform(runs, of_run))
 

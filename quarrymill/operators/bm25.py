@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import terms
-from quarrymill.session import bounded_broadcast
+from quarrymill.session import bounded_broadcast, written
 
 K1, B = 1.5, 0.75
 
@@ -56,6 +56,7 @@ def candidate_scores(candidates: DataFrame, group: str, query: str, key: str, te
     counted = candidates.select(group, key, words.alias("words"), terms(F.col(text)).alias("terms")).select(
         group, key, F.size("terms").alias("length"), F.transform("words", lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf"))).alias("met")
     )
+    counted = written(counted, "term-counts")
     whole = counted.groupBy(group).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     met = counted.select(group, key, "length", F.explode("met").alias("m")).select(group, key, "length", "m.term", "m.tf").where("tf > 0")
     df = met.groupBy(group, "term").agg(F.count("*").alias("df"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.errors import IndexStoreError, IngestionError
@@ -20,7 +20,7 @@ def prepared(files: DataFrame, path: str, content: str) -> DataFrame:
 def sources(chunks: DataFrame) -> DataFrame:
     """source and content_hash, of an index whose rows may lack hashes: the first one by chunk_id wins."""
     first = F.min_by("content_hash", F.when(F.col("content_hash").isNotNull() & (F.col("content_hash") != ""), F.col("chunk_id")))
-    return chunks.groupBy("source").agg(F.max_by(F.lit(1), "chunk_id").alias("__one"), first.alias("content_hash")).drop("__one")
+    return chunks.groupBy("source").agg(first.alias("content_hash"))
 
 
 def classified(incoming: DataFrame, stored: DataFrame, force: bool) -> DataFrame:
@@ -90,7 +90,3 @@ class Snapshots:
 def incremental(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """The chunks of sources that aren't indexed yet."""
     return new.join(chunks.select("source").distinct(), "source", "left_anti")
-
-
-def deduplicated_rank(rows: DataFrame, key: str, order: list) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")

@@ -1,4 +1,9 @@
 """The registered queries of the core, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from quarrymill.plans import retrieval
+
+_PARTS = (retrieval,)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
