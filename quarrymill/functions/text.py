@@ -51,7 +51,7 @@ def plain_markdown(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """A third of the UTF-8 bytes, at least 1; 0 for the empty text."""
-    return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.expr("1") * F.floor(F.octet_length(text) / 3).cast("int")))
+    return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.octet_length(text) / 3).cast("int")))
 
 
 def slug(text: Column, longest: int = 30) -> Column:
@@ -71,10 +71,5 @@ def session_slug(stem: Column) -> Column:
     return F.when(full != "", full).when((F.length(stem) >= 10) & stem.rlike(r"^\d{4}-"), F.substring(stem, 12, 1 << 30)).otherwise(stem)
 
 
-def occurrences(text: Column, word: Column) -> Column:
-    """How often a word stands in a text, without overlap."""
-    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
-
-
 def piece_of_context(source: Column, text: Column) -> Column:
     return F.concat(F.lit("[来源: "), source, F.lit("]\n"), text)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import HAN, occurrences, squeezed, strip
+from quarrymill.functions.text import HAN, squeezed, strip
 
 # Words too common for an anchor.
 STOP_WORDS = ("什么", "怎么", "为什么", "如何", "可以", "应该", "需要", "这个", "那个", "或者")
@@ -61,28 +65,50 @@ def versions_with_rollback(versions: DataFrame, key: str, order: str, back_to: D
     return versions.unionByName(again.select(*versions.columns))
 
 
-def deep_recall(questions: DataFrame, documents: DataFrame, qid: str, query: str, key: str, text: str, top_k: int = 8) -> DataFrame:
+def deep_recall(questions: DataFrame, documents: DataFrame, qid: str, query: str, key: str, text: str, top_k: int = 8, at_once: int = 1000) -> DataFrame:
     """qid, key, score, snippet: the documents with most occurrences of the question's words, of equal ones the greater key.
 
     Words of one character don't count. The snippet begins 150 characters before the first of the words, in the
-    question's order, that occurs. Only texts that hold a word leave the scan: questions are few and known in advance.
+    question's order, that occurs. Every batch of texts is searched once for each different word, and keeps the top_k of
+    each question, so that only these are shuffled. Tasks hold `at_once` questions; more take more passes.
     """
-    words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) >= 2)
-    asked = questions.select(qid, words.alias("words"))
-    rows = asked.collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 questions at once")
-    lower = F.lower(text)
-    each = [F.struct(F.lit(r[qid]).alias(qid), F.array(*[F.lit(w) for w in r["words"]]).alias("words")) for r in rows if r["words"]]
-    if not each:
-        return documents.select(F.lit(0).cast("bigint").alias(qid), key, F.lit(0).alias("score"), F.col(text).alias("snippet")).limit(0)
-    met = documents.select(key, F.col(text).alias("__text"), lower.alias("__lower"), F.explode(F.array(*each)).alias("q"))
-    counts = F.transform(F.col("q.words"), lambda w: occurrences(F.col("__lower"), w))
-    scored = met.select(key, "__text", "__lower", F.col(f"q.{qid}").alias(qid), "q.words", F.aggregate(counts, F.lit(0), lambda s, x: s + x).alias("score")).where("score > 0")
+    found, part = None, []
+    for row in questions.select(qid, F.lower(query).alias("q")).where("q is not null").toLocalIterator():
+        words = [w for w in row["q"].split() if len(w) >= 2]
+        part += [(row[qid], words)] if words else []
+        if len(part) == at_once:
+            found, part = _more(found, _searched(part, documents, qid, key, text, top_k)), []
+    if part or found is None:
+        found = _more(found, _searched(part, documents, qid, key, text, top_k))
     best = Window.partitionBy(qid).orderBy(F.desc("score"), F.desc(key))
-    top = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top_k)
-    first = F.element_at(F.filter(F.transform("words", lambda w: F.instr(F.col("__lower"), w)), lambda p: p > 0), 1)
-    return top.select(qid, key, "score", F.substring(F.col("__text"), F.greatest(F.lit(1), first - 150), F.lit(500)).alias("snippet"))
+    return found.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= top_k).drop("__n")
+
+
+def _more(found: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if found is None else found.unionByName(new)
+
+
+def _searched(asked: list, documents: DataFrame, qid: str, key: str, text: str, top_k: int) -> DataFrame:
+    distinct = sorted({w for _, words in asked for w in words})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lower = [t.lower() for t in texts]
+            seen = {w: [t.count(w) for t in lower] for w in distinct}
+            rows = []
+            for question, words in asked:
+                scores = [sum(c) for c in zip(*[seen[w] for w in words])]
+                met = heapq.nlargest(top_k, ((n, keys[i], i) for i, n in enumerate(scores) if n))
+                for n, own, i in met:
+                    first = next(at for w in words if (at := lower[i].find(w)) >= 0)
+                    start = max(0, first - 150)
+                    rows.append((question, own, n, texts[i][start : start + 500]))
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string())], names=[qid, key, "score", "snippet"])
+
+    kind = dict(documents.dtypes)[key]
+    return documents.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInArrow(search, f"`{qid}` bigint, `{key}` {kind}, score int, snippet string")
 
 
 def history(messages: DataFrame, conversation: str, order: list[str], content: Column, n: int = 6) -> DataFrame:
