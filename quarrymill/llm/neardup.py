@@ -163,8 +163,7 @@ def alike(
 
 
 def _packed() -> Column:
-    """kind and id as one number: the two kinds share the join."""
-    return F.col("rep") * 2 + (F.col("kind") == "chunk").cast("bigint")
+    return _pack("kind", "rep")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, run: int) -> DataFrame:
@@ -206,3 +205,46 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     copies = a.join(b.withColumnRenamed("rep_b", "rep_a"), ["kind", "rep_a"]).where("x < y")
     both = linked.select("kind", "x", "y").unionByName(copies.select("kind", "x", "y"))
     return both.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def groups(members: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """kind, id, group_id (the least id of all that hang together) and n_links (links of its text to other texts) of every member.
+
+    Connected components by alternating stars: every round links each text to the least one among its greater
+    neighbours, then among its smaller ones, until nothing changes. A round is two shuffles of the links, written down.
+    """
+    edges = written(links.select(_pack("kind", "rep_a").alias("a"), _pack("kind", "rep_b").alias("b")), "links")
+    state = None
+    for _ in range(most_rounds):
+        edges = written(_small_star(_large_star(edges)), "stars")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    else:
+        raise RuntimeError(f"the groups didn't settle in {most_rounds} rounds")
+    roots = edges.select(F.col("b").alias("rep"), F.col("a").alias("root"))
+    both = links.select("kind", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("n_links"))
+    packed = members.withColumn("packed", _pack("kind", "rep")).join(roots.withColumnRenamed("rep", "packed"), "packed", "left")
+    group = F.expr("shiftright(coalesce(root, packed), 1)")
+    return packed.join(both, ["kind", "rep"], "left").select("kind", "id", group.alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _pack(kind: str, rep: str) -> Column:
+    """kind and id as one number, so that both kinds share a join; ids keep their order within a kind."""
+    return F.col(rep) * 2 + (F.col(kind) == "chunk").cast("bigint")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every greater neighbour linked to the least of its neighbour's neighbours (a < b in all links)."""
+    ways = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return ways.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every text and its smaller neighbours linked to the least of these."""
+    least = edges.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+    joined = edges.withColumnRenamed("b", "u").join(least, "u")
+    links = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+    return links.distinct()

@@ -56,7 +56,9 @@ def _last(text: str, low: int, high: int) -> int:
 
 def balanced_ends(text: str, size: int, overlap: int) -> list[int]:
     n, step = len(text), size - overlap
-    count = max(1, -(-(n - overlap) // step))
+    if n <= size:
+        return [n]
+    count = -(-(n - overlap) // step)
     while True:
         length = (n + (count - 1) * overlap) / count
         reach = max(0, min(size // 8, int(length - overlap) // 2 - 1))

@@ -28,6 +28,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_pairs(*alike(p1_texts(spark, sf_dir)))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrymill.llm.neardup import alike, groups
+
+    return groups(*alike(p1_texts(spark, sf_dir)))
+
+
 def p4_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "kb_documents").select(F.lit("file").alias("kind"), F.col("file_id").alias("item_id"), F.col("content").alias("text"))
     chunks = table(spark, sf_dir, "kb_chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("item_id"), "text")
@@ -111,6 +117,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
