@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from quarrymill.hooks import Embedder, HashingEmbedder
 from quarrymill.operators import index, retrieve, splitting
 from quarrymill.session import written
 
+NO_HITS = "未找到相关内容。"
 CHUNKS = "source string, chunk_index int, text string, content_hash string, vec array<double>"
 
 
@@ -94,3 +96,21 @@ class RetrievalSystem:
         kept = retrieve.within_budget(self.search(questions), "qid", "rank_no", self.settings.retrieval.context_tokens)
         sources = kept.groupBy("qid").agg(F.array_sort(F.collect_set("source")).alias("sources"))
         return questions.select("qid", "query").join(retrieve.prompts(kept, "qid", "rank_no"), "qid", "left").join(sources, "qid", "left")
+
+    def answers(self, questions: DataFrame, generate: Callable[[str, str], str], history: str | None = None) -> DataFrame:
+        """qid, answer and sources: what `generate` makes of each context and question, with the sources named after it.
+
+        `history` names a column of `questions` with the messages before, put in front of the context. A question
+        without any hit gets NO_HITS. The call runs in the tasks; wrap it in hooks.retried() for one that may fail.
+        """
+
+        def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                said = [NO_HITS if c is None else generate(c if h is None else f"{h}\n\n{c}", q) for c, q, h in zip(frame["context"], frame["query"], frame["history"])]
+                yield pd.DataFrame({"qid": frame["qid"], "said": said, "sources": frame["sources"]})
+
+        before = questions.select(F.col("qid").alias("__qid"), (F.col(history) if history else F.lit(None).cast("string")).alias("history"))
+        asked = self.prompts(questions).join(before, F.col("qid") == F.col("__qid")).select("qid", "query", "context", "sources", "history")
+        said = asked.mapInPandas(ask, "qid bigint, said string, sources array<string>")
+        named = F.concat("said", F.lit("\n\n参考来源: "), F.array_join("sources", ", "))
+        return said.select("qid", F.when(F.size("sources") > 0, named).otherwise(F.col("said")).alias("answer"), "sources")

@@ -150,6 +150,9 @@ def test_system(spark, tmp_path):
     found = {r.qid: r.source.rsplit("/", 1)[1] for r in system.search(asked).collect()}
     assert found == {0: "a.md", 1: "c.html"}
     assert system.prompts(asked).where("qid = 0").first().context.endswith("cats purr!")
+    told = asked.withColumn("said", F.lit("before"))
+    answers = {r.qid: r.answer for r in system.answers(told, lambda context, question: f"{question}? {len(context) > 20} {context[:6]}", "said").collect()}
+    assert answers[0].startswith("cats? True before") and answers[0].split("参考来源: ")[1].endswith("a.md")
     source = system.sources().first().source
     assert (system.remove(source), system.remove(source)) == (1, 0)
     other = RetrievalSystem(spark, system.settings, HashingEmbedder(8))
