@@ -39,7 +39,8 @@ def terms(text: Column) -> Column:
         none = F.array().cast("array<string>")
         return F.when(~first.between(0x3400, 0x9FFF), F.array(F.lower(run))).when(F.length(run) < 2, none).otherwise(pairs)
 
-    return F.flatten(F.transform(runs, of_run))
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(text.rlike(HAN), F.flatten(F.transform(runs, of_run))).otherwise(plain)
 
 
 def plain_markdown(text: Column) -> Column:

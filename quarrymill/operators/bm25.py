@@ -38,9 +38,10 @@ def scores(queries: DataFrame, qid: str, query: str, docs: DataFrame, key: str,
     """qid, key and score of every document that shares a term with the query; repeated query terms count once."""
     asked = queries.select(qid, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
     wanted = bounded_broadcast(asked.select("term").distinct())
-    total = statistics(docs, key, text).first()
+    words = written(collection(docs, key, text), "terms")
+    total = words.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")).first()
     n, average = F.lit(total["n"]), F.lit(total["average"])
-    postings = collection(docs, key, text).select(key, "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    postings = words.select(key, "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
     tf = postings.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     hits = tf.join(df, "term").join(bounded_broadcast(asked), "term")
