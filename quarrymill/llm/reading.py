@@ -61,11 +61,15 @@ def prose(text: str, footer: frozenset[str] = frozenset()) -> list[str]:
     return [*out, " ".join(now)] if now else out
 
 
+# What a word's length says, also in languages with few labels.
+_SIZES = [f"<{n}>" for n in range(16)]
+
+
 def tokens(paragraph: str) -> list[str]:
     out = []
     for run in _WORD.findall(paragraph.lower()):
         if run[0] < "\u0e00" or "\u0e7f" < run[0] < "\u2e80":
-            out.append(run)
+            out += (run, _SIZES[min(len(run), 15)])
         elif len(run) > 1:
             out += map("".join, zip(run, run[1:]))
         else:

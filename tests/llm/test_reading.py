@@ -44,4 +44,4 @@ def test_footers(spark):
 
 def test_prose_and_tokens():
     assert prose("# T\n\n- one\n> two\n\n```\ncode\n```\nQ: three\n***\nF", frozenset({"F"})) == ["one two", "three"]
-    assert tokens("Über A1 向量库 好。カナ") == ["über", "a", "向量", "量库", "好", "カナ"]
+    assert tokens("Über A1 向量库 好。カナ") == ["über", "<4>", "a", "<1>", "向量", "量库", "好", "カナ"]
