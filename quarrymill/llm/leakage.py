@@ -41,7 +41,7 @@ def item_grams(items: DataFrame, stretch: int, dense_stretch: int, dense_langs:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([letters(t) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["item", "letters", "span"])
 
     span = F.when(F.lower(F.trim("lang")).isin(*dense_langs), dense_stretch).otherwise(stretch)
-    plainly = items.select(F.col("item_id").alias("item"), F.col("text").alias("letters"), span.alias("span")).mapInArrow(plain, "item bigint, letters string, span int")
+    plainly = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").alias("item"), F.col("text").alias("letters"), span.alias("span")).mapInArrow(plain, "item bigint, letters string, span int")
     starts = F.sequence(F.lit(0), F.length("letters") - F.col("span"))
     at = plainly.where(F.length("letters") >= F.col("span")).withColumn("at", F.explode(starts))
     return at.select("item", F.length("letters").alias("size"), "span", "at", F.expr("substring(letters, at + 1, span)").alias("gram"), "letters")
@@ -61,7 +61,7 @@ def leaks(
     covered counts the item's characters in stretches of at least `stretch` (for items in `dense_langs`:
     `dense_stretch`) characters that occur in the document too, anywhere and in any order; alignment is the local
     alignment score (1 a match, -1 a mismatch or gap). Texts are compared by letters(). Null and empty texts and items
-    shorter than a stretch match nothing; rows that repeat give a pair once; an empty table gives no rows; other columns
+    shorter than a stretch match nothing, nor do rows without an id; rows that repeat give a pair once; an empty table gives no rows; other columns
     are not looked at. Items are held in every task, in as many passes as keep each at `gram_limit` grams (8 bytes each).
     """
     grams = written(item_grams(items, stretch, dense_stretch, dense_langs), "item-grams")
@@ -70,7 +70,7 @@ def leaks(
     for k in range(passes):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k) if passes > 1 else grams
         wanted = [r.gram for r in own.select("gram").distinct().toLocalIterator()]
-        found = documents.select("doc_id", F.xxhash64("text").alias("copy"), "text").where(F.length("text") > 0).mapInArrow(_finder(wanted), "doc bigint, copy bigint, near string, grams array<string>")
+        found = documents.select("doc_id", F.xxhash64("text").alias("copy"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).mapInArrow(_finder(wanted), "doc bigint, copy bigint, near string, grams array<string>")
         hits = found if hits is None else hits.unionByName(found)
     hits = written(hits, "leak-hits")
 

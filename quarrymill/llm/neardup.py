@@ -113,7 +113,7 @@ def _signatures(codes: np.ndarray, bounds: np.ndarray, run: int, bins: int) -> n
 def signed(texts: DataFrame, run: int, least: int, bins: int) -> DataFrame:
     """kind, id, same (equal for equal canonical texts), sketch and symbols of every text with at least `least` canonical characters."""
     planes = ", ".join(f"{p} bigint" for p in _PLANE)
-    long = texts.select("kind", "id", "text").where(F.length("text") >= max(least, run) // 3)  # lower case makes one character three at most
+    long = texts.select("kind", "id", "text").where(F.col("kind").isNotNull() & F.col("id").isNotNull() & (F.length("text") >= max(least, run) // 3))  # lower case makes one character three at most
     return long.mapInArrow(_signer(run, max(least, run), bins), f"kind string, id bigint, same binary, {planes}, symbols array<int>")
 
 
@@ -137,11 +137,12 @@ def alike(
     errors: int = 1,
     sketch_distance: int = 35,
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of `texts` with the columns kind, id and text, all other columns being ignored.
+    """(members, links) of `texts` with the columns kind ('file' or 'chunk'), id and text, all other columns being ignored.
 
     members: kind, id and rep, the least id among equal canonical texts of a kind. links: kind, rep_a < rep_b of
     different texts whose sets of character runs have a Jaccard similarity of at least `similarity`. Texts that are
-    null, empty or shorter than `least` canonical characters are in neither; an id that comes twice counts once.
+    null, empty or shorter than `least` canonical characters, and rows without kind or id, are in neither; an id that
+    comes twice counts once for each different text of it; an empty table gives no rows.
 
     Two texts at the similarity s differ in a symbol of the sketch (4 bits) with the probability 15/16 (1 - s), so that
     of pairs at 0.6 fewer than one in two thousand have more than `sketch_distance` of 60, and none to speak of above.

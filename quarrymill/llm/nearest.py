@@ -40,13 +40,13 @@ def nearest(
     """vec_id, neighbour_id, score and rank_no (1 to k) for every usable vector of `vectors` (vec_id, vec).
 
     score is the cosine rounded to 6 decimals; equal scores go by the smaller neighbour_id. A vector is not its own
-    neighbour; an equal vector of another id is. Vectors that aren't usable() take no part; an id that comes twice
+    neighbour; an equal vector of another id is. Vectors that aren't usable() or lack an id take no part; an id that comes twice
     counts once per distinct vector; fewer than k + 1 vectors give fewer neighbours, an empty table none. The model is
     fitted on no more than `sample_each` vectors for each of at most `max_partitions` partitions; every vector is
     entered and searched.
     """
     spark = vectors.sparkSession
-    clean = vectors.select("vec_id", "vec").where(usable(F.col("vec"), size)).distinct()
+    clean = vectors.select("vec_id", "vec").where(F.col("vec_id").isNotNull() & usable(F.col("vec"), size)).distinct()
     same = Window.partitionBy("vec").orderBy("vec_id")
     # Of equal vectors, only the k + 1 least ids can be a neighbour of anything.
     ranked = written(clean.select("vec_id", F.first("vec_id").over(same).alias("rep"), F.row_number().over(same).alias("copy"), "vec"), "vectors")

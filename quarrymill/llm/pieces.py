@@ -27,7 +27,7 @@ def pieces(items: DataFrame, keys: list[str], text: str, size: int = 512, overla
 
     Positions count code points; ends are exclusive. Each piece after the first starts `overlap` before the end of the
     one before. Texts that are null, empty or no longer than `size` give no rows; rows that repeat give their pieces
-    again; an empty table gives none. Where a range holds no boundary the cut is made at the limit (`latest`) or at the
+    again, and rows with null keys theirs; an empty table gives none. Where a range holds no boundary the cut is made at the limit (`latest`) or at the
     target (`balanced`).
     """
     if not 0 <= overlap < size // 2:

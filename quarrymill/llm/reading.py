@@ -125,7 +125,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most_labelled: int =
 
     `labels` has doc_id and reading_level; nulls, other numbers and contradicting labels aren't used, and without any
     label the models are seeded by a formula. The models see at most `most_labelled` documents. Null, blank, code-only
-    and log-only texts give no row; ids that repeat give a row each; of equal parts the easier level wins; an empty
+    and log-only texts give no row; ids that repeat, null ones too, give a row each; of equal parts the easier level wins; an empty
     table gives no rows.
     """
     sample = written(labelled(documents, labels, most_labelled), "labelled")

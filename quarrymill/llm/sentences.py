@@ -355,7 +355,7 @@ def learned(parts: DataFrame, least: int = 5, most: int = 100_000) -> Habits:
 def sentences(documents: DataFrame, key: str, text: str) -> DataFrame:
     """`key`, start_pos and end_pos of each sentence of `text`, in code points, the end exclusive, without outer white space.
 
-    Null, blank and code-only texts give no rows; a text that comes again gives its rows again; an empty table gives
+    Null, blank and code-only texts give no rows; a text that comes again, or has no key, gives its rows as any other; an empty table gives
     none. Other columns are not looked at. A block of any length is parted in time linear in its length but for the
     choice among its possible ends, which takes the square of their number.
     """

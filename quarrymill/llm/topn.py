@@ -31,7 +31,7 @@ def top_n_per_group(
     `order` names columns and whether each descends; nulls come last, -0.0 equals 0.0. It must end in the item, which
     makes it total. A row that repeats its group's preceding item is the same item
     delivered again and counts once; redeliveries agree in group and order, hence stand side by side. Null is a group
-    of its own. An empty table gives no rows. Other columns, whatever their names, are not looked at.
+    of its own, and all rows of a group without an item count as one item. An empty table gives no rows. Other columns, whatever their names, are not looked at.
     """
     partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = dict(rows.dtypes)

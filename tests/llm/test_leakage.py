@@ -43,8 +43,8 @@ def corpus():
 @pytest.mark.parametrize("limit", [4_000_000, 300])
 def test_as_by_brute_force(spark, limit):
     docs, items = corpus()
-    d = spark.createDataFrame([(*x, "x") for x in docs], "doc_id bigint, text string, item string")
-    i = spark.createDataFrame([(*x, 1) for x in items], "item_id bigint, text string, lang string, doc_id int")
+    d = spark.createDataFrame([(*x, "x") for x in [*docs, (None, docs[0][1])]], "doc_id bigint, text string, item string")
+    i = spark.createDataFrame([(*x, 1) for x in [*items, (None, items[0][1], "en")]], "item_id bigint, text string, lang string, doc_id int")
     found = leaks(d, i, gram_limit=limit).collect()
     assert {(r.doc_id, r.item_id) for r in found} == brute(docs, items) and len(found) == len({(r.doc_id, r.item_id) for r in found})
     assert all(r.covered <= r.item_chars and r.alignment >= 12 for r in found)

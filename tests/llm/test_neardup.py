@@ -41,7 +41,7 @@ def corpus():
 
 def test_all_pairs_as_by_brute_force(spark):
     rows = corpus()
-    texts = spark.createDataFrame([(*r, "x") for r in rows], "kind string, id bigint, text string, rep string")
+    texts = spark.createDataFrame([(*r, "x") for r in [*rows, (None, 1, rows[0][2]), ("file", None, rows[0][2])]], "kind string, id bigint, text string, rep string")
     members, links = alike(texts.select("kind", "id", "text", "rep"))
     found = [tuple(r) for r in all_pairs(members, links).select("kind", "id_a", "id_b").collect()]
     assert len(found) == len(set(found))

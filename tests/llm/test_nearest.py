@@ -33,7 +33,7 @@ def test_recall_and_scores(spark):
     data = clustered()
     data += [(5000 + i, data[3][1]) for i in range(20)] + [(6000, None), (6001, [0.0] * 64), (6002, [1.0] * 63), (6003, [float("nan")] * 64), (6004, [None] + [1.0] * 63), data[7]]
     data.append((6005, (np.array(data[3][1]) * 100).tolist()))
-    table_ = spark.createDataFrame([(*d, "x") for d in data], "vec_id bigint, vec array<float>, rank_no string")
+    table_ = spark.createDataFrame([(*d, "x") for d in [*data, (None, data[0][1])]], "vec_id bigint, vec array<float>, rank_no string")
     found = {}
     for r in nearest(table_, entries=100).collect():
         found.setdefault(r.vec_id, []).append((r.rank_no, r.neighbour_id, r.score))
