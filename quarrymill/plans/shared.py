@@ -40,11 +40,12 @@ RESULTS = rf"""results AS (
 
 
 def candidates(spark: SparkSession, sf_dir: str, multiplier: int = MULTIPLIER) -> DataFrame:
-    """The results with their chunk's text, the first TOP_K * multiplier of each query."""
+    """The results with their chunk's text, the first TOP_K * multiplier of each query; texts join when the ranks are known."""
     from quarrymill.operators.retrieve import recalled
 
     chunks = latest(table(spark, sf_dir, "kb_chunks").select("chunk_id", "source", "chunk_index", "text", "indexed_at")).select("source", "chunk_index", "text")
-    return recalled(results(spark, sf_dir).join(chunks, ["source", "chunk_index"]), "asked", TOP_K, multiplier)
+    there = results(spark, sf_dir).join(chunks.select("source", "chunk_index"), ["source", "chunk_index"])
+    return recalled(there, "asked", TOP_K, multiplier).join(chunks, ["source", "chunk_index"])
 
 
 CANDIDATES = rf"""{RESULTS}, newest AS (
