@@ -54,7 +54,7 @@ def leaks(
     dense_stretch: int = 12,
     dense_langs: tuple[str, ...] = ("zh", "ja"),
     share: float = 0.5,
-    gram_limit: int = 4_000_000,
+    gram_limit: int = 1_000_000,
 ) -> DataFrame:
     """doc_id, item_id, covered, item_chars and alignment of every document and item with at least `share` of the item covered.
 

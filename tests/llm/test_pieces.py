@@ -4,8 +4,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarrymill.llm.pieces import balanced_ends, latest_ends, pieces
-from quarrymill.llm.queries import QUERIES, SQL
-from tests.compare import SF, duck, rows
 
 TEXTS = st.builds(lambda parts: "".join(parts), st.lists(st.sampled_from(["word ", "end. ", "\n", "\n\n", "句。", "x" * 90, "数据　"]), max_size=80))
 
@@ -54,5 +52,3 @@ def test_edges(spark):
     assert pieces(items.limit(0), ["id"], "body").count() == 0
 
 
-def test_as_in_sql(spark):
-    assert rows(QUERIES["p4_found"](spark, SF)) == duck(SQL["p4_found"])

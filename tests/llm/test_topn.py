@@ -3,9 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm.queries import QUERIES, SQL
 from quarrymill.llm.topn import top_n_per_group
-from tests.compare import SF, duck, rows
 
 ORDER = [("score", True), ("id", False)]
 
@@ -28,5 +26,3 @@ def test_empty(spark):
     assert top_n_per_group(spark.createDataFrame([], "g string, score double, id bigint"), F.col("g"), ORDER, "id", 5).count() == 0
 
 
-def test_as_in_sql(spark):
-    assert rows(QUERIES["p5_found"](spark, SF)) == duck(SQL["p5_found"])
