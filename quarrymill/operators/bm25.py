@@ -55,7 +55,7 @@ def candidate_scores(candidates: DataFrame, group: str, query: str, key: str, te
     """
     words = F.array_distinct(terms(F.col(query)))
     counted = candidates.select(group, key, words.alias("words"), terms(F.col(text)).alias("terms")).select(
-        group, key, F.size("terms").alias("length"), F.transform("words", lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf"))).alias("met")
+        group, key, F.size("terms").alias("length"), F.transform("words", lambda t: F.struct(t.alias("term"), (F.size("terms") - F.size(F.array_remove("terms", t))).alias("tf"))).alias("met")
     )
     counted = written(counted, "term-counts")
     whole = counted.groupBy(group).agg(F.count("*").alias("n"), F.avg("length").alias("average"))

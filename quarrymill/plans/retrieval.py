@@ -9,7 +9,7 @@ from quarrymill.functions.text import terms, token_estimate
 from quarrymill.functions.vectors import norm
 from quarrymill.operators import bm25, retrieve
 from quarrymill.plans.shared import BM25, CANDIDATES, TOP_K, candidates, results, RESULTS, sql_fused, sql_terms
-from quarrymill.session import table
+from quarrymill.session import spread, table
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,8 @@ def asked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25.scores(asked_queries(spark, sf_dir), "qid", "query", table(spark, sf_dir, "kb_chunks"), "chunk_id", "text")
+    chunks = spread(table(spark, sf_dir, "kb_chunks").select("chunk_id", "text"))
+    found = bm25.scores(asked_queries(spark, sf_dir), "qid", "query", chunks, "chunk_id", "text")
     rounded = found.withColumn("score", F.round("score", 6))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     return rounded.withColumn("rank_no", F.row_number().over(best)).where("rank_no <= 5").select("qid", "rank_no", "chunk_id", "score")

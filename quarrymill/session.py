@@ -34,6 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer pieces than there are cores, dealt out to all of them; of large inputs it stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def bounded_broadcast(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """df to be broadcast if it has no more than so many rows (of a few numbers each), else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
