@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +68,14 @@ POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 def bootstrap(rows: DataFrame, key: str, value: str, resamples: int) -> DataFrame:
     """95 % interval of the mean of `value`, by Poisson bootstrap: each row draws its own number in each resample from a hash.
 
-    No row needs a position or another row's draw, so that partial sums are all that is shuffled.
+    No row needs a position or another row's draw, so that partial sums are all that is shuffled. A resample that draws no
+    row has no mean.
     """
-    each = rows.select(F.col(key).alias("k"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", "resample", "k")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    drawn = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
-    means = each.withColumn("w", drawn).groupBy("resample").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"))
+    spark = rows.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).repartition(cores)  # a row stands for `resamples` rows of work
+    each = dealt.select("k", "v", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    u = F.substring(F.md5(F.concat_ws("-", "resample", "k")), 1, 8)
+    drawn = sum(((u >= f"{math.ceil(p * (1 << 32)):08x}").cast("int") for p in POISSON), F.lit(0))  # hexadecimal numbers of one length sort as text
+    means = each.withColumn("w", drawn).groupBy("resample").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
     return means.agg(F.count("*").alias("resamples"), F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))

@@ -11,6 +11,7 @@ from quarrymill.plans.shared import BM25, CANDIDATES, RESULTS, BLANK, TOP_K, can
 from quarrymill.session import table
 
 ALPHAS = (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 1.0)
+RESAMPLES = 10_000
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +62,33 @@ def normal_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.normal_interval(_vector_ranked(spark, sf_dir))
 
 
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mean_interval(spark: SparkSession, sf_dir: str, resamples: int) -> DataFrame:
     rows = _vector_ranked(spark, sf_dir).select("qid", evaluate.reciprocal(F.col("rank")).alias("rr"))
-    return evaluate.bootstrap(rows, "qid", "rr", 200)
+    return evaluate.bootstrap(rows, "qid", "rr", resamples)
 
 
-def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _delta_interval(spark: SparkSession, sf_dir: str, resamples: int) -> DataFrame:
     """Both rankings share each question's draws, as their difference is what is drawn."""
     rows = _both_ranked(spark, sf_dir).select("qid", (evaluate.reciprocal(F.col("rank_b")) - evaluate.reciprocal(F.col("rank_a"))).alias("delta"))
-    return evaluate.bootstrap(rows, "qid", "delta", 200)
+    return evaluate.bootstrap(rows, "qid", "delta", resamples)
+
+
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 of the resamples of bootstrap_ci_10000."""
+    return _mean_interval(spark, sf_dir, 200)
+
+
+def paired_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 of the resamples of paired_bootstrap_ci_10000."""
+    return _delta_interval(spark, sf_dir, 200)
+
+
+def bootstrap_ci_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mean_interval(spark, sf_dir, RESAMPLES)
+
+
+def paired_bootstrap_ci_10000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delta_interval(spark, sf_dir, RESAMPLES)
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +136,10 @@ _BOTH = f"""WITH {CANDIDATES}, {BM25}, {sql_fused("0.5::DOUBLE")}, {_QUESTIONS},
 ), rr AS (SELECT *, CASE WHEN rank_a >= 0 THEN 1.0::DOUBLE / (rank_a + 1) ELSE 0 END AS a, CASE WHEN rank_b >= 0 THEN 1.0::DOUBLE / (rank_b + 1) ELSE 0 END AS b FROM ev)"""
 
 
-def _bootstrap_sql(value: str) -> str:
+def _bootstrap_sql(value: str, resamples: int = 200) -> str:
     draws = " + ".join(f"(u >= {p}::DOUBLE)::INT" for p in evaluate.POISSON)
     return f"""drawn AS (
-        SELECT resample, v, {draws} AS w FROM (SELECT resample, {value} AS v, ('0x' || substr(md5(resample || '-' || qid), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM rr, range(200) t(resample))
+        SELECT resample, v, {draws} AS w FROM (SELECT resample, {value} AS v, ('0x' || substr(md5(resample || '-' || qid), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM rr, range({resamples}) t(resample))
     ), means AS (SELECT resample, sum(w * v) / sum(w) AS mean FROM drawn GROUP BY resample)
     SELECT count(*) AS resamples, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means"""
 
@@ -134,7 +153,8 @@ _SWEEP = f"""WITH {CANDIDATES}, {BM25}, {_QUESTIONS}, alphas AS (SELECT unnest([
 
 QUERIES = {
     "rank_of_relevant": rank_of_relevant, "mrr_by_type": mrr_by_type, "rank_distribution": rank_distribution, "strategies": strategies, "rr_delta_counts": rr_delta_counts,
-    "effect_size": effect_size, "normal_ci": normal_ci, "bootstrap_ci": bootstrap_ci, "paired_bootstrap_ci": paired_bootstrap_ci, "alpha_sweep": alpha_sweep,
+    "effect_size": effect_size, "normal_ci": normal_ci, "bootstrap_ci": bootstrap_ci, "paired_bootstrap_ci": paired_bootstrap_ci, "bootstrap_ci_10000": bootstrap_ci_10000,
+    "paired_bootstrap_ci_10000": paired_bootstrap_ci_10000, "alpha_sweep": alpha_sweep,
     "best_alpha": best_alpha, "grade_counts": grade_counts,
 }
 
@@ -153,6 +173,8 @@ SQL = {
         SELECT round(m, 6) AS mrr, round(greatest(0, m - wide), 6) AS low, round(least(1, m + wide), 6) AS high FROM base""",
     "bootstrap_ci": f"{_VECTOR}, {_bootstrap_sql('rr')}",
     "paired_bootstrap_ci": f"{_BOTH}, {_bootstrap_sql('b - a')}",
+    "bootstrap_ci_10000": f"{_VECTOR}, {_bootstrap_sql('rr', RESAMPLES)}",
+    "paired_bootstrap_ci_10000": f"{_BOTH}, {_bootstrap_sql('b - a', RESAMPLES)}",
     "alpha_sweep": f"{_SWEEP} SELECT alpha, mrr, recall FROM sweep",
     "best_alpha": f"{_SWEEP} SELECT alpha, mrr FROM sweep ORDER BY mrr DESC, alpha LIMIT 1",
     "grade_counts": """WITH g AS (SELECT month(retrieved_at)::INT AS month, CASE WHEN score >= 0.7 THEN 'A' WHEN score >= 0.5 THEN 'B' ELSE 'C' END AS grade FROM search_results WHERE score IS NOT NULL AND NOT isnan(score))
