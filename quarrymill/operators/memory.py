@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import HAN, squeezed, strip
+from quarrymill.session import written
 
 # Words too common for an anchor.
 STOP_WORDS = ("什么", "怎么", "为什么", "如何", "可以", "应该", "需要", "这个", "那个", "或者")
+PART = 8192
 
 
 def sessions(documents: DataFrame, text: str) -> DataFrame:
@@ -117,7 +122,89 @@ def history(messages: DataFrame, conversation: str, order: list[str], content: C
     return messages.withColumn("history", F.collect_list(content).over(before))
 
 
-def transcripts(messages: DataFrame, conversation: str, order: str, role: str, content: str) -> DataFrame:
-    """One text of role: content lines for each conversation."""
-    lines = F.array_sort(F.collect_list(F.struct(order, F.concat(F.col(role), F.lit(": "), F.col(content)).alias("line"))))
-    return messages.groupBy(conversation).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
+def _lines(messages: DataFrame, conversation: str, order: str, role: str, content: str) -> DataFrame:
+    return messages.select(F.col(conversation).alias("__group"), F.col(order).alias("__order"), F.concat(F.col(role), F.lit(": "), F.col(content)).alias("__line"))
+
+
+def transcripts(messages: DataFrame, conversation: str, order: str, role: str, content: str, size: int = PART, partitions: int | None = None) -> DataFrame:
+    """conversation, part_no, text: the role: content lines of each conversation as one text, in parts of `size` characters (the last has the rest).
+
+    The parts in order, with nothing between them, are the transcript. Messages without role or content give no line;
+    those of equal order stand by their lines. Messages are range-partitioned and sorted, so that a conversation of any
+    size spreads over tasks; the lengths before each partition's start turn local places into places in the transcript.
+    """
+    partitions = partitions or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = _lines(messages, conversation, order, role, content).where("__line IS NOT NULL")
+    placed = lines.repartitionByRange(partitions, "__group", "__order").sortWithinPartitions("__group", "__order", "__line").select("__group", "__line", F.spark_partition_id().alias("__in"))
+    kept = written(placed.mapInArrow(_placed, placed.select("*", F.lit(0).cast("bigint").alias("__at")).schema), "transcripts")
+    sizes = kept.groupBy("__group", "__in").agg(F.sum(F.length("__line") + F.lit(1).cast("bigint")).alias("__size"))
+    before = Window.partitionBy("__group").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one conversation per partition began in an earlier one: no more rows than partitions, whatever the data.
+    carried = sizes.withColumn("__before", F.sum("__size").over(before)).where("__before > 0").select(F.col("__group").alias("__g"), F.col("__in").alias("__i"), "__before")
+    joined = kept.join(F.broadcast(carried), kept["__group"].eqNullSafe(F.col("__g")) & (kept["__in"] == F.col("__i")), "left")
+    at = F.col("__at") + F.coalesce("__before", F.lit(0))
+    # All lines but the first begin with the line feed before them.
+    items = joined.select("__group", F.when(at > 0, at - 1).otherwise(0).alias("__at"), F.when(at > 0, F.concat(F.lit("\n"), "__line")).otherwise(F.col("__line")).alias("__item"))
+    last = F.col("__at") + F.length("__item") - 1
+    each = items.withColumn("part_no", F.explode(F.sequence(F.floor(F.col("__at") / size), F.floor(last / size))))
+    start = F.greatest(F.lit(0).cast("bigint"), F.col("part_no") * size - F.col("__at"))
+    piece = F.substring(F.col("__item"), (start + 1).cast("int"), F.lit(size) - F.greatest(F.lit(0).cast("bigint"), F.col("__at") - F.col("part_no") * size).cast("int"))
+    parts = each.groupBy("__group", "part_no").agg(F.array_sort(F.collect_list(F.struct("__at", piece.alias("piece")))).alias("pieces"))
+    return parts.select(F.col("__group").alias(conversation), "part_no", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("text"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Characters before each line in its conversation, as far as they are in this partition."""
+    last, run = None, 0  # the conversation that the batch before ended in, and its characters so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        groups = batch.column(0)
+        code = groups.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        ends = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy().astype(np.int64) + 1)
+        begins = np.concatenate(([0], ends[:-1]))
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        base = begins[starts]
+        base[0] -= run if last is not None and last[0] == groups[0].as_py() else 0
+        base = np.repeat(base, np.diff(np.append(starts, len(code))))
+        last, run = (groups[-1].as_py(),), int(ends[-1] - base[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begins - base)], names=["__group", "__line", "__in", "__at"])
+
+
+def transcript_digests(messages: DataFrame, conversation: str, order: str, role: str, content: str) -> DataFrame:
+    """conversation, MD5 and length of its whole transcript; null for one without lines.
+
+    A digest needs a conversation's lines one after the other, so one task has them all, but it holds no more than a
+    batch of them: they are sorted on disk and digested as they come.
+    """
+    lines = _lines(messages, conversation, order, role, content)
+    kind = lines.schema["__group"].dataType.simpleString()
+    ordered = lines.repartition("__group").sortWithinPartitions("__group", "__order", "__line").select("__group", "__line")
+    return ordered.mapInArrow(_digested, f"__group {kind}, digest string, n_chars bigint").withColumnRenamed("__group", conversation)
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, digest, size = None, None, 0
+
+    def rows(done: list) -> pa.RecordBatch:
+        names, digests, sizes = zip(*done)
+        return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], names=["__group", "digest", "n_chars"])
+
+    def closed() -> tuple:
+        return last[0], digest and digest.hexdigest(), size if digest else None
+
+    for batch in batches:
+        kind, done = batch.schema.field(0).type, []
+        for group, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if last is None or last[0] != group:
+                done += [closed()] if last else []
+                last, digest, size = (group,), None, 0
+            if line is not None:
+                text = "\n" + line if digest else line
+                digest = digest or hashlib.md5()
+                digest.update(text.encode())
+                size += len(text)
+        if done:
+            yield rows(done)
+    if last:
+        yield rows([closed()])

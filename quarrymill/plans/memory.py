@@ -82,8 +82,11 @@ def chat_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = memory.transcripts(table(spark, sf_dir, "events").where("user_id is not null"), "user_id", "event_id", "event_type", "props")
-    return found.select("user_id", F.md5("transcript").alias("digest"), F.length("transcript").alias("n_chars"))
+    return memory.transcript_digests(table(spark, sf_dir, "events").where("user_id is not null"), "user_id", "event_id", "event_type", "props")
+
+
+def session_transcript_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.transcripts(table(spark, sf_dir, "events").where("user_id is not null"), "user_id", "event_id", "event_type", "props")
 
 
 def keyword_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +108,8 @@ _H = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]"
 QUERIES = {
     "make_slug": make_slug, "list_sessions": list_sessions, "parse_session_name": parse_session_name, "last_n_sessions": last_n_sessions, "latest_version": latest_version,
     "rollback_version": rollback_version, "anchor_keywords": anchor_keywords, "prompt_lines": prompt_lines, "merge_dedup": merge_dedup, "recall_threshold": recall_threshold,
-    "recall_deep": recall_deep, "chat_history_window": chat_history_window, "session_transcript": session_transcript, "keyword_minimum": keyword_minimum,
+    "recall_deep": recall_deep, "chat_history_window": chat_history_window, "session_transcript": session_transcript,
+    "session_transcript_parts": session_transcript_parts, "keyword_minimum": keyword_minimum,
 }
 
 SQL = {
@@ -134,5 +138,7 @@ SQL = {
     SELECT qid, doc_id, score, md5(substr(text, greatest(1, list_filter(list_transform(words, lambda w: strpos(lower(text), w)), lambda p: p > 0)[1] - 150), 500)) AS digest FROM top""",
     "chat_history_window": "SELECT event_id, coalesce(string_agg(event_id || ':' || event_type, ',') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') AS history FROM events WHERE user_id IS NOT NULL",
     "session_transcript": "SELECT user_id, md5(t) AS digest, length(t)::INT AS n_chars FROM (SELECT user_id, string_agg(event_type || ': ' || props, chr(10) ORDER BY event_id) AS t FROM events WHERE user_id IS NOT NULL GROUP BY user_id)",
+    "session_transcript_parts": f"""WITH whole AS (SELECT user_id, string_agg(event_type || ': ' || props, chr(10) ORDER BY event_id) AS t FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+        SELECT user_id, part_no, substr(t, part_no * {memory.PART} + 1, {memory.PART}) AS text FROM (SELECT *, unnest(range((length(t) + {memory.PART - 1}) // {memory.PART})) AS part_no FROM whole)""",
     "keyword_minimum": r"SELECT qid, array_to_string(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: length(w) >= 2), '|') AS keywords FROM eval_queries",
 }
