@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrymill.config import Retrieval
 from quarrymill.functions.text import terms, token_estimate
 from quarrymill.functions.vectors import norm
 from quarrymill.operators import bm25, retrieve
 from quarrymill.plans.shared import BM25, CANDIDATES, TOP_K, candidates, results, RESULTS, sql_fused, sql_terms
 from quarrymill.session import spread, table
 
+CONTEXT_TOKENS = Retrieval().context_tokens
+
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "kb_chunks").select("chunk_id", terms(F.col("text")).alias("t"))
@@ -93,13 +96,28 @@ def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "kb_chunks").select("chunk_id", token_estimate(F.col("text")).alias("tokens"))
 
 
+def _within(spark: SparkSession, sf_dir: str, tokens: int) -> DataFrame:
+    return retrieve.within_budget(candidates(spark, sf_dir, 1), "asked", "vector_rank", tokens)
+
+
+def _prompts(kept: DataFrame) -> DataFrame:
+    return retrieve.prompts(kept, "asked", "vector_rank").select("asked", F.md5("context").alias("digest"), F.length("context").alias("n_chars"))
+
+
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.within_budget(candidates(spark, sf_dir, 1), "asked", "vector_rank", 800).select("result_id", "tokens", "used")
+    return _within(spark, sf_dir, 800).select("result_id", "tokens", "used")
 
 
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = retrieve.within_budget(candidates(spark, sf_dir, 1), "asked", "vector_rank", 800)
-    return retrieve.prompts(kept, "asked", "vector_rank").select("asked", F.md5("context").alias("digest"), F.length("context").alias("n_chars"))
+    return _prompts(_within(spark, sf_dir, 800))
+
+
+def context_budget_4000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _within(spark, sf_dir, CONTEXT_TOKENS).select("result_id", "tokens", "used")
+
+
+def prompt_context_4000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompts(_within(spark, sf_dir, CONTEXT_TOKENS))
 
 
 def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,16 +153,24 @@ def _fused_sql(alpha: str, select: str, rank: str = "fused_rank") -> str:
 
 _FUSED = "SELECT result_id, fused_rank::INT AS fused_rank, round(fused, 6) AS fused"
 _PIECE = "'[来源: ' || source || ']' || chr(10) || text"
-_BUDGET = f"""kept AS (
+
+
+def _budget_sql(tokens: int) -> str:
+    return f"""kept AS (
     SELECT * FROM (SELECT *, sum(tokens) OVER (PARTITION BY asked ORDER BY vector_rank) AS used FROM (
-        SELECT *, {_PIECE} AS piece, greatest(1, strlen({_PIECE}) // 3) AS tokens FROM cand WHERE vector_rank <= {TOP_K})) WHERE vector_rank = 1 OR used <= 800
+        SELECT *, {_PIECE} AS piece, greatest(1, strlen({_PIECE}) // 3) AS tokens FROM cand WHERE vector_rank <= {TOP_K})) WHERE vector_rank = 1 OR used <= {tokens}
 )"""
 
+
+_BUDGET = _budget_sql(800)
+_BUDGET_4000 = _budget_sql(CONTEXT_TOKENS)
+
 QUERIES = {
     "token_counts": token_counts, "term_frequency": term_frequency, "bm25_statistics": bm25_statistics, "bm25_topk": bm25_topk, "bm25_candidates": bm25_candidates,
     "overfetch": overfetch, "hybrid_fuse": hybrid_fuse, "adaptive_alpha": adaptive_alpha, "rerank_topk": rerank_topk, "rerank_fallback": rerank_fallback,
     "vector_topk": vector_topk, "vector_label_recall": vector_label_recall, "vector_norms": vector_norms, "hash_embed": hash_embed, "estimate_tokens": estimate_tokens,
-    "context_budget": context_budget, "prompt_context": prompt_context, "answer_sources": answer_sources,
+    "context_budget": context_budget, "prompt_context": prompt_context, "context_budget_4000": context_budget_4000, "prompt_context_4000": prompt_context_4000,
+    "answer_sources": answer_sources,
 }
 
 SQL = {
@@ -173,6 +199,9 @@ SQL = {
     "context_budget": f"WITH {CANDIDATES}, {_BUDGET} SELECT result_id, tokens::INT AS tokens, used::BIGINT AS used FROM kept",
     "prompt_context": f"""WITH {CANDIDATES}, {_BUDGET}, whole AS (SELECT asked, string_agg(piece, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY vector_rank) AS context FROM kept GROUP BY asked)
     SELECT asked, md5(context) AS digest, length(context)::INT AS n_chars FROM whole""",
+    "context_budget_4000": f"WITH {CANDIDATES}, {_BUDGET_4000} SELECT result_id, tokens::INT AS tokens, used::BIGINT AS used FROM kept",
+    "prompt_context_4000": f"""WITH {CANDIDATES}, {_BUDGET_4000}, whole AS (SELECT asked, string_agg(piece, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY vector_rank) AS context FROM kept GROUP BY asked)
+    SELECT asked, md5(context) AS digest, length(context)::INT AS n_chars FROM whole""",
     "answer_sources": f"""WITH {RESULTS}, first AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, source, chunk_index, result_id) <= 5)
     SELECT asked, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM first GROUP BY asked""",
 }
