@@ -52,6 +52,34 @@ def test_one_partition_is_exact(spark):
     assert found == {(i, n) for i, own in brute(data).items() for n, _ in own}
 
 
+def test_recall_with_a_hundred_partitions_on_two_levels(spark, monkeypatch):
+    from quarrymill.llm import nearest as module
+
+    monkeypatch.setattr(module, "FANOUT", 16)
+    data = clustered(4000, 300)
+    found = {(r.vec_id, r.neighbour_id) for r in nearest(spark.createDataFrame(data, "vec_id bigint, vec array<float>"), floor=0.02, entries=40, sample_each=20).collect()}
+    true = {(i, n) for i, own in brute(data).items() for n, _ in own}
+    assert len(found) == len(true) and len(true & found) >= 0.95 * len(true)
+
+
+def test_a_partition_in_several_blocks_is_searched_whole(spark, monkeypatch):
+    from quarrymill.llm import nearest as module
+
+    monkeypatch.setattr(module, "ENTRY_BLOCK", 100)
+    monkeypatch.setattr(module, "QUERY_BLOCK", 150)
+    data = clustered(700, 20)
+    found = {(r.vec_id, r.neighbour_id, r.score) for r in nearest(spark.createDataFrame(data, "vec_id bigint, vec array<float>")).collect()}
+    assert found == {(i, n, s) for i, own in brute(data).items() for n, s in own}
+
+
+def test_more_equal_scores_than_are_looked_at_first(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    data = [(i, (base * (1 + i)).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=64).tolist()) for i in range(40)]
+    found = {(r.vec_id, r.rank_no): r.neighbour_id for r in nearest(spark.createDataFrame(data, "vec_id bigint, vec array<float>")).collect()}
+    assert [found[30, n] for n in range(1, 6)] == [0, 1, 2, 3, 4] and [found[2, n] for n in range(1, 6)] == [0, 1, 3, 4, 5]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_few(spark, n):
     found = nearest(spark.createDataFrame(clustered(max(n, 1), 1)[:n], "vec_id bigint, vec array<float>"))
