@@ -4,8 +4,9 @@ Each distinct text gets a signature of `chunks * width` symbols of 16 bits: the
 that many bins (one-permutation hashing), so that two texts differ in a symbol with the probability 1 - similarity.
 Signatures are joined by a multi-index Hamming join: two signatures that differ in at most `chunks * (errors + 1) - 1`
 symbols have, by pigeonhole, a chunk with no more than `errors` differences. Each chunk is entered once for every choice
-of `errors` symbols to leave out, and texts that share an entry are candidates. All pairs within that distance are
-found; most pairs beyond it are too. Candidates are thinned by a sketch (4 bits of each symbol) and compared exactly.
+of `errors` symbols to leave out, and texts that share an entry are candidates, so that no pair within that distance is
+missed. Candidates whose sketches (4 bits of each symbol) differ in more places than that lie beyond the distance and are
+left out; the others are compared exactly.
 """
 
 from __future__ import annotations
@@ -99,15 +100,14 @@ def _signatures(codes: np.ndarray, bounds: np.ndarray, run: int, bins: int) -> n
         hashes, own = hashes[whole], own[whole]
         where = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(least, own * bins + where, (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    grid = least.reshape(n, bins)
-    for step in range(1, bins):  # an empty bin takes the value of the next full one, changed by the distance
-        empty = grid == _EMPTY
-        if not empty.any() or empty.all(axis=1).any():
-            break
+    whole_grid = least.reshape(n, bins)
+    some = np.flatnonzero((whole_grid != _EMPTY).any(axis=1) & (whole_grid == _EMPTY).any(axis=1))  # a text without any run has nothing to fill from
+    grid = whole_grid[some]
+    while (empty := grid == _EMPTY).any():  # an empty bin takes the value of the next full one, changed by the distance
         source = np.roll(grid, -1, axis=1)
-        fill = empty & (source != _EMPTY)
-        grid = np.where(fill, source * np.uint32(0x9E3779B1) + np.uint32(1), grid)
-    return grid
+        grid = np.where(empty & (source != _EMPTY), source * np.uint32(0x9E3779B1) + np.uint32(1), grid)
+    whole_grid[some] = grid
+    return whole_grid
 
 
 def signed(texts: DataFrame, run: int, least: int, bins: int) -> DataFrame:
@@ -118,13 +118,27 @@ def signed(texts: DataFrame, run: int, least: int, bins: int) -> DataFrame:
 
 
 def entries(signs: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
-    """rep and entry: every chunk of every signature with every choice of `errors` symbols left out."""
-    keys = []
-    for chunk in range(chunks):
-        for kept in combinations(range(width), width - errors):
-            symbols = [F.get("symbols", F.lit(chunk * width + k)) for k in kept]
-            keys.append(F.hash("kind", F.lit(chunk), F.lit(str(kept)), *symbols))
-    return signs.select("rep", F.explode(F.array(*keys)).alias("entry"))
+    """rep and entry: every chunk of every signature with every choice of `errors` symbols left out, as a 64-bit number.
+
+    rep holds the kind in its last bit, and so does the entry.
+    """
+    places = [[chunk * width + k for k in kept] for chunk in range(chunks) for kept in combinations(range(width), width - errors)]
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = batch.column(1).flatten().to_numpy().astype(np.uint64).reshape(batch.num_rows, -1)
+            keys = np.empty((batch.num_rows, len(places)), np.uint64)
+            for i, kept in enumerate(places):
+                keys[:, i] = i + 1
+                for place in kept:
+                    keys[:, i] = (keys[:, i] ^ symbols[:, place]) * np.uint64(_BASE)
+                    keys[:, i] ^= keys[:, i] >> np.uint64(29)
+            kind = batch.column(0).to_numpy().astype(np.uint64)[:, None] & np.uint64(1)
+            keys = (keys * np.uint64(0x7FB5D329728EA185) & ~np.uint64(1)) | kind
+            flat = pa.array(keys.view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(places)), flat)], names=["rep", "entries"])
+
+    return signs.select("rep", "symbols").mapInArrow(enter, "rep bigint, entries array<bigint>").select("rep", F.explode("entries").alias("entry"))
 
 
 def alike(
@@ -134,8 +148,7 @@ def alike(
     least: int = 200,
     chunks: int = 12,
     width: int = 5,
-    errors: int = 1,
-    sketch_distance: int = 35,
+    errors: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of `texts` with the columns kind ('file' or 'chunk'), id and text, all other columns being ignored.
 
@@ -144,10 +157,11 @@ def alike(
     null, empty or shorter than `least` canonical characters, and rows without kind or id, are in neither; an id that
     comes twice counts once for each different text of it; an empty table gives no rows.
 
-    Two texts at the similarity s differ in a symbol of the sketch (4 bits) with the probability 15/16 (1 - s), so that
-    of pairs at 0.6 fewer than one in two thousand have more than `sketch_distance` of 60, and none to speak of above.
+    Two texts at the similarity s differ in a symbol with the probability 1 - s: of pairs at 0.6 about one in a thousand
+    differs in more than 35 of 60 symbols, the distance that is guaranteed here, and none to speak of above.
     A signature has at most 63 symbols, as many as the sketch's numbers have bits.
     """
+    distance = chunks * (errors + 1) - 1
     signs = written(signed(texts, run, least, chunks * width), "signatures")
     reps = signs.groupBy("kind", "same").agg(F.min("id").alias("rep"))
     members = signs.select("kind", "id", "same").join(reps, ["kind", "same"]).select("kind", "id", "rep").distinct()
@@ -158,7 +172,7 @@ def alike(
     met = left.join(right, F.col("a.entry") == F.col("b.entry")).where("a.rep < b.rep").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     sketch = lambda side: distinct.select(_packed().alias(side), *[F.col(p).alias(f"{p}_{side}") for p in _PLANE])
     differ = reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")) for p in _PLANE])
-    near = met.join(sketch("a"), "a").join(sketch("b"), "b").where(F.bit_count(differ) <= sketch_distance)
+    near = met.join(sketch("a"), "a").join(sketch("b"), "b").where(F.bit_count(differ) <= distance)
     pairs = written(near.select("a", "b"), "near-pairs")
     return members, _verified(texts, pairs, similarity, run)
 

@@ -39,16 +39,24 @@ SELECT result_id, rank_no FROM ranked WHERE rank_no <= 5
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
 NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
 
-P1_FOUND = rf"""
-WITH plain AS (
+_P1 = rf"""plain AS (
     SELECT 'file' AS kind, file_id AS id, regexp_replace(lower(content), '[\p{{P}}{BLANK[1:-1]}]+', '', 'g') AS t FROM kb_documents
     UNION ALL SELECT 'chunk', chunk_id, regexp_replace(lower(text), '[\p{{P}}{BLANK[1:-1]}]+', '', 'g') FROM kb_chunks
 ), runs AS (
     SELECT kind, id, unnest(list_distinct(list_transform(range(1, length(t) - 8), lambda i: substr(t, i, 10)))) AS run FROM plain WHERE length(t) >= 200
 ), size AS (SELECT kind, id, count(*) AS n FROM runs GROUP BY ALL), common AS (
     SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS n FROM runs a JOIN runs b ON a.kind = b.kind AND a.run = b.run AND a.id < b.id GROUP BY ALL
-)
+), pair AS (
 SELECT c.kind, id_a, id_b FROM common c JOIN size a ON a.kind = c.kind AND a.id = id_a JOIN size b ON b.kind = c.kind AND b.id = id_b WHERE c.n >= 0.6 * (a.n + b.n - c.n)
+)"""
+P1_GROUPS = f"""
+WITH RECURSIVE {_P1}, way AS (SELECT kind, id_a AS id, id_b AS other FROM pair UNION ALL SELECT kind, id_b, id_a FROM pair), reach AS (
+    SELECT kind, id, id AS other FROM plain WHERE length(t) >= 200
+    UNION SELECT r.kind, r.id, w.other FROM reach r JOIN way w ON w.kind = r.kind AND w.id = r.other
+), link AS (
+    SELECT w.kind, w.id, count(DISTINCT b.t) AS n FROM way w JOIN plain a ON a.kind = w.kind AND a.id = w.id JOIN plain b ON b.kind = w.kind AND b.id = w.other WHERE a.t <> b.t GROUP BY ALL
+)
+SELECT kind, id, min(other) AS group_id, coalesce(any_value(n), 0)::BIGINT AS n_links FROM reach LEFT JOIN link USING (kind, id) GROUP BY kind, id
 """
 
 NEAREST = """
@@ -85,7 +93,8 @@ SELECT source FROM both_ WHERE t * m < w / (SELECT sum(w) FROM both_) * (SELECT
 """
 
 SQL: dict[str, str] = {
-    "p1_found": P1_FOUND,
+    "p1_found": f"WITH {_P1} SELECT kind, id_a, id_b FROM pair",
+    "p1_groups": P1_GROUPS,
     "p3_found": f"{NEAREST} SELECT DISTINCT least(a, b) AS vec_lo, greatest(a, b) AS vec_hi FROM near WHERE n <= 5",
     "p3_neighbours": f"{NEAREST} SELECT a AS vec_id, b AS neighbour_id, score, n::INT AS rank_no FROM near WHERE n <= 5",
     "p4_found": P4_FOUND,
