@@ -5,8 +5,8 @@ that many bins (one-permutation hashing), so that two texts differ in a symbol w
 Signatures are joined by a multi-index Hamming join: two signatures that differ in at most `chunks * (errors + 1) - 1`
 symbols have, by pigeonhole, a chunk with no more than `errors` differences. Each chunk is entered once for every choice
 of `errors` symbols to leave out, and texts that share an entry are candidates, so that no pair within that distance is
-missed. Candidates whose sketches (4 bits of each symbol) differ in more places than that lie beyond the distance and are
-left out; the others are compared exactly.
+missed. For pairs beyond it the symbols are dealt anew into chunks without errors, a few times. Candidates are thinned by
+a sketch (4 bits of each symbol) and compared exactly.
 """
 
 from __future__ import annotations
@@ -117,12 +117,16 @@ def signed(texts: DataFrame, run: int, least: int, bins: int) -> DataFrame:
     return long.mapInArrow(_signer(run, max(least, run), bins), f"kind string, id bigint, same binary, {planes}, symbols array<int>")
 
 
-def entries(signs: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
-    """rep and entry: every chunk of every signature with every choice of `errors` symbols left out, as a 64-bit number.
+def entries(signs: DataFrame, chunks: int, width: int, errors: int, deals: int) -> DataFrame:
+    """rep and entry: every chunk of every signature with every choice of `errors` symbols left out, as a 48-bit number.
 
-    rep holds the kind in its last bit, and so does the entry.
+    `deals` times all symbols are shuffled and give chunks of width - errors symbols, entered whole. rep holds the kind
+    in its last bit, and so does the entry.
     """
     places = [[chunk * width + k for k in kept] for chunk in range(chunks) for kept in combinations(range(width), width - errors)]
+    for deal in range(deals):
+        mixed = np.random.default_rng(deal).permutation(chunks * width)
+        places += [mixed[low : low + width - errors].tolist() for low in range(0, len(mixed) - (width - errors) + 1, width - errors)]
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +138,7 @@ def entries(signs: DataFrame, chunks: int, width: int, errors: int) -> DataFrame
                     keys[:, i] = (keys[:, i] ^ symbols[:, place]) * np.uint64(_BASE)
                     keys[:, i] ^= keys[:, i] >> np.uint64(29)
             kind = batch.column(0).to_numpy().astype(np.uint64)[:, None] & np.uint64(1)
-            keys = (keys * np.uint64(0x7FB5D329728EA185) & ~np.uint64(1)) | kind
+            keys = (keys * np.uint64(0x7FB5D329728EA185) >> np.uint64(16) & ~np.uint64(1)) | kind
             flat = pa.array(keys.view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(places)), flat)], names=["rep", "entries"])
 
@@ -148,7 +152,9 @@ def alike(
     least: int = 200,
     chunks: int = 12,
     width: int = 5,
-    errors: int = 2,
+    errors: int = 1,
+    deals: int = 2,
+    sketch_distance: int = 38,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of `texts` with the columns kind ('file' or 'chunk'), id and text, all other columns being ignored.
 
@@ -157,22 +163,22 @@ def alike(
     null, empty or shorter than `least` canonical characters, and rows without kind or id, are in neither; an id that
     comes twice counts once for each different text of it; an empty table gives no rows.
 
-    Two texts at the similarity s differ in a symbol with the probability 1 - s: of pairs at 0.6 about one in a thousand
-    differs in more than 35 of 60 symbols, the distance that is guaranteed here, and none to speak of above.
-    A signature has at most 63 symbols, as many as the sketch's numbers have bits.
+    Two texts at the similarity s differ in a symbol with the probability 1 - s, in 24 of 60 at 0.6. All pairs that differ
+    in at most 23 become candidates; beyond, by calculation, all but one in ten thousand at 0.6, and more above. In the
+    sketch a symbol differs with the probability 15/16 (1 - s): of pairs at 0.6 fewer than one in thirty thousand have
+    more than `sketch_distance` of 60. A signature has at most 63 symbols, as many as the sketch's numbers have bits.
     """
-    distance = chunks * (errors + 1) - 1
     signs = written(signed(texts, run, least, chunks * width), "signatures")
     reps = signs.groupBy("kind", "same").agg(F.min("id").alias("rep"))
     members = signs.select("kind", "id", "same").join(reps, ["kind", "same"]).select("kind", "id", "rep").distinct()
     distinct = written(signs.join(reps, ["kind", "same"]).where(F.col("id") == F.col("rep")).select("kind", "rep", *_PLANE, "symbols"), "distinct-signatures")
 
-    found = entries(distinct.withColumn("rep", _packed()), chunks, width, errors)
+    found = entries(distinct.withColumn("rep", _packed()), chunks, width, errors, deals)
     left, right = found.alias("a"), found.alias("b")
     met = left.join(right, F.col("a.entry") == F.col("b.entry")).where("a.rep < b.rep").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     sketch = lambda side: distinct.select(_packed().alias(side), *[F.col(p).alias(f"{p}_{side}") for p in _PLANE])
     differ = reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")) for p in _PLANE])
-    near = met.join(sketch("a"), "a").join(sketch("b"), "b").where(F.bit_count(differ) <= distance)
+    near = met.join(sketch("a"), "a").join(sketch("b"), "b").where(F.bit_count(differ) <= sketch_distance)
     pairs = written(near.select("a", "b"), "near-pairs")
     return members, _verified(texts, pairs, similarity, run)
 
