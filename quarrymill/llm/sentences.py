@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,14 @@ RESUMING = frozenset("and but before after said asked wrote und aber sagte fragt
 
 _FULL = "。！？｡।॥؟…‼⁇⁈⁉．۔"
 _BLANKLESS = "฀-ໟက-႟ក-៿々-〇ぁ-ヿ㐀-䶿一-鿿豈-﫿"
-_NO_BLANK = re.compile(f"[{_BLANKLESS}]")
+_NO_BLANK = frozenset(c for c in map(chr, range(0xE00, 0xFB00)) if re.match(f"[{_BLANKLESS}]", c))  # letters of scripts without blanks
 _CJK = re.compile("[々-〇ぁ-ヿ㐀-䶿一-鿿]")
 _CLOSERS = "\"”’»」』）)]】》〉"
 _OPENERS = "\"“‘«„「『（([【《〈¿¡'"
 _END = re.compile(rf"[.!?{_FULL}]+(?: \.\.\.)?")
+_MARKS = re.compile(rf"[.!?{_FULL}]+")
+_LAST_WORD = re.compile(r"[^\s(（\[\"“«]*$")
+_NUMBER_BEFORE = re.compile(r"\d\s*\S*$")
 _GAP = re.compile(rf"(?<=[{_BLANKLESS}])[ 　\t]+(?=[{_BLANKLESS}])")
 _WIDE_GAP = re.compile(r"(?<=\S)[ 　\t]+(?=\S)")
 _GOES_ON = re.compile(r"\s*[,;:，、；：،؛)\]）】」』]")
@@ -49,6 +53,7 @@ _HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
 _ITEM = re.compile(r"\s*(?:([-*+•‣])|(\d{1,4})[.)])\s+\S")
 _EXTENSION = re.compile(r"[a-z]{1,5}(?![a-z/.\d])")
 _WORD = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*")
+_NOTED = re.compile("[\"“”«»„「」『』（）()\\[\\]【】《》〈〉]")
 _PAIRS = {"）": "（", ")": "(", "]": "[", "】": "【", "」": "「", "』": "『", "»": "«", "”": "“", "》": "《", "〉": "〈"}
 
 
@@ -122,25 +127,54 @@ def blanks_end(blocks: list[tuple[int, str, str]]) -> bool:
     return bool(_GAP.search(body)) and not re.search(rf"[。！？｡]|[{_BLANKLESS}][.!?](?![a-z])", body)
 
 
+class Script:
+    """What the letters of a block are, looked at when it is asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    @cached_property
+    def cjk(self) -> bool:
+        return not self.text.isascii() and len(_CJK.findall(self.text)) * 3 > len(self.text)
+
+    @cached_property
+    def cased(self) -> bool:
+        return _mostly_cased(self.text)
+
+
+@lru_cache(1)
+def _caseless() -> np.ndarray:
+    """Which code points are letters without case."""
+    return np.array([chr(c).isalpha() and chr(c).lower() == chr(c).upper() for c in range(0x110000)])
+
+
+def _mostly_cased(text: str) -> bool:
+    if text.isascii():
+        return True
+    return int(np.count_nonzero(_caseless()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)])) * 4 < len(text)
+
+
 def cuts(text: str, kind: str, blanks: bool) -> list[Cut]:
     if kind == "data":
         return []
     found = [(m.start(), m.end(), "") for m in _END.finditer(text)]
-    if kind != "heading":
-        thai = not _CJK.search(text)
-        if blanks:
-            found += [(m.start(), m.start(), " ") for m in (_GAP if thai else _WIDE_GAP).finditer(text)]
+    if kind != "heading" and blanks:
+        found += [(m.start(), m.start(), " ") for m in (_WIDE_GAP if _CJK.search(text) else _GAP).finditer(text)]
+    if not found:
+        return []
     found.sort()
-    out, open_at, quoted, scanned = [], [], False, 0
+    noted, next_noted = [m.start() for m in _NOTED.finditer(text)], 0
+    out, open_at, quoted, stripped = [], [], False, len(text.rstrip())
     german = "„" in text
     skip = len(_ITEM.match(text)[0]) - 1 if kind == "item" and _ITEM.match(text) else 0
-    cjk = len(_CJK.findall(text)) * 3 > len(text)
-    cased = sum(c.isalpha() and c.lower() == c.upper() for c in text) * 4 < len(text)
+    script = Script(text)
     for low, high, blank in found:
         if high < skip:
             continue
-        for at in range(scanned, low):
+        while next_noted < len(noted) and noted[next_noted] < low:
+            at = noted[next_noted]
             quoted = _note(text[at], at, open_at, quoted, german)
+            next_noted += 1
         end, bracket, closed = high, -1, False
         while end < len(text):
             c = text[end]
@@ -151,10 +185,11 @@ def cuts(text: str, kind: str, blanks: bool) -> list[Cut]:
             quoted = _note(c, end, open_at, quoted, german)
             closed = True
             end += 1
-        scanned = max(scanned, end)
-        if end >= len(text.rstrip()):
+        while next_noted < len(noted) and noted[next_noted] < end:
+            next_noted += 1
+        if end >= stripped:
             continue
-        cut = _cut(text, low, end, blank, closed, bracket, cjk, cased)
+        cut = _cut(text, low, end, blank, closed, bracket, script)
         if cut:
             cut.state = (tuple(c for c, _ in open_at), quoted)
             out.append(cut)
@@ -176,21 +211,21 @@ def _note(c: str, at: int, open_at: list, quoted: bool, german: bool) -> bool:
     return quoted
 
 
-def _cut(text: str, low: int, end: int, blank: str, closed: bool, bracket: int, cjk: bool, cased: bool) -> Cut | None:
+def _cut(text: str, low: int, end: int, blank: str, closed: bool, bracket: int, script: Script) -> Cut | None:
     run, before, after = text[low:end], text[low - 1] if low else "", text[end]
     if not blank:
         if _GOES_ON.match(text, end):
             return None
-        marks = re.match(rf"[.!?{_FULL}]+", run)[0]
+        marks = _MARKS.match(run)[0]
         ellipsis = "…" in marks or "..." in run
         full = any(c in _FULL for c in marks)
         if not full and not after.isspace():
-            glued = bool(_NO_BLANK.match(before)) or before in _CLOSERS
-            if _NO_BLANK.match(after):
+            glued = before in _NO_BLANK or before in _CLOSERS
+            if after in _NO_BLANK:
                 pass
             elif glued and (after.isupper() or after in _OPENERS or after.isdigit() and marks != "." or after.islower() and not _EXTENSION.match(text, end)):
                 pass
-            elif not (cjk and before.isalnum() and (after in "“「『《（" or after.isupper() and text[end + 1 : end + 2].islower())):
+            elif not (script.cjk and before.isalnum() and (after in "“「『《（" or after.isupper() and text[end + 1 : end + 2].islower())):
                 return None
         mark = "~" if ellipsis else "。" if full else "." if set(marks) == {"."} else "!"
     else:
@@ -205,9 +240,9 @@ def _cut(text: str, low: int, end: int, blank: str, closed: bool, bracket: int,
     head = text[first : first + 1]
     opening = _opening(text, first)
     lower = head.islower() and not (word and any(c.isupper() for c in word[0]))
-    shape = "-" if lower and not cased else "l" if lower and first == start else "u" if head.isupper() or lower or first > start else "9" if head.isdigit() else "-"
+    shape = "-" if lower and not script.cased else "l" if lower and first == start else "u" if head.isupper() or lower or first > start else "9" if head.isdigit() else "-"
     tail = text[max(0, low - 24) : low]
-    closing = tail[-3:] if _NO_BLANK.match(before) else (re.search(r"[^\s(（\[\"“«]*$", tail) or [""])[0]
+    closing = tail[-3:] if before in _NO_BLANK else _LAST_WORD.search(tail)[0]
     if closing.isdigit():
         closing = "9"
     return Cut(end, start, mark, closing, opening, shape, closed, bracket, ())
@@ -217,19 +252,16 @@ def _opening(text: str, first: int) -> str:
     """The word at a position: one letter of a script without blanks, 9 for any number."""
     word = _WORD.match(text, first)
     head = text[first : first + 1]
-    return head if _NO_BLANK.match(head) or not word else "9" if word[0].isdigit() else word[0]
+    return head if head in _NO_BLANK or not word else "9" if word[0].isdigit() else word[0]
 
 
 class Habits:
     """How often words stand at a sure end or beginning, of how often they stand at a possible one."""
 
-    def __init__(self, rows: list[tuple[str, str, int, int]]) -> None:
-        sure, seen = Counter(), Counter()
-        for role, _, a, b in rows:
-            sure[role] += a
-            seen[role] += b
-        self.rate = {r: max(sure[r], 1) / max(seen[r], 1) for r in seen}
-        self.by = {(r, k): (a, b) for r, k, a, b in rows}
+    def __init__(self, rows: list[tuple[str, str | None, int, int]]) -> None:
+        """Rows of role, word, sure and seen; those without a word are of the role as a whole."""
+        self.rate = {r: max(a, 1) / max(b, 1) for r, word, a, b in rows if word is None}
+        self.by = {(r, word): (a, b) for r, word, a, b in rows if word is not None}
 
     def __call__(self, role: str, key: str) -> float:
         a, b = self.by.get((role, key), (0, 0))
@@ -245,8 +277,8 @@ def _weights(text: str, cut: Cut, habits: Habits) -> tuple[float, float]:
         begin += {"u": 1.5, "l": -7.0, "9": 0.0, "-": 0.5}[cut.shape]
     if cut.mark == ".":
         word = cut.close.rstrip(".")
-        number = re.search(r"\d\s*\S*$", text[max(0, cut.end - 8) : cut.end - len(word) - 1]) is not None
-        if word in ABBREVIATIONS or len(word) == 1 and word.isalpha() and not _NO_BLANK.match(word) and not number:
+        letter = len(word) == 1 and word.isalpha() and word not in _NO_BLANK
+        if word in ABBREVIATIONS or letter and not _NUMBER_BEFORE.search(text[max(0, cut.end - 8) : cut.end - len(word) - 1]):
             close -= 6
         if word == "9" and cut.open in MONTHS:
             begin -= 8
@@ -260,6 +292,9 @@ def _weights(text: str, cut: Cut, habits: Habits) -> tuple[float, float]:
     return close, begin
 
 
+_STRIDE, _FEW = 256, 24
+
+
 def spans(text: str, kind: str, blanks: bool, habits: Habits) -> list[tuple[int, int]]:
     """Begin and end of each sentence of a block."""
     found = cuts(text, kind, blanks)
@@ -267,30 +302,82 @@ def spans(text: str, kind: str, blanks: bool, habits: Habits) -> list[tuple[int,
     if not found:
         return [(0, whole)] if whole else []
     weight = [_weights(text, c, habits) for c in found]
+    back = _few(found, weight, whole) if len(found) < _FEW else _many(found, weight, whole)
+    starts, out, j = [0, *[c.start for c in found]], [], len(found) + 1
+    while j:
+        out.append((starts[back[j]], whole if j > len(found) else found[j - 1].end))
+        j = int(back[j])
+    return out[::-1]
+
+
+def _few(found: list[Cut], weight: list[tuple[float, float]], whole: int) -> list[int]:
+    """As _many(), for so few ends that arrays don't pay."""
+    sums, back, last = [0.0], [0], len(found)
+    starts, states = [0, *[c.start for c in found]], [((), False), *[c.state for c in found]]
+    for j in range(1, last + 2):
+        cut = found[j - 1] if j <= last else None
+        end, most, best = cut.end if cut else whole, -math.inf, 0
+        for i in range(j):
+            length = end - starts[i]
+            score = sums[i] - (4.0 if length < 3 else 0.0)
+            if length > 600:
+                score -= 0.5 * math.log(length / 600)
+            if cut:
+                if states[i] != states[j]:
+                    score -= 8.0
+                if cut.bracket >= 0 and cut.bracket > starts[i] + 1:  # a bracket inside a sentence doesn't end it
+                    score -= 8.0
+            if score > most:
+                most, best = score, i
+        back.append(best)
+        sums.append(most + weight[j - 1][0] + weight[j - 1][1] if cut else most)
+    return back
+
+
+def _many(found: list[Cut], weight: list[tuple[float, float]], whole: int) -> np.ndarray:
+    """For each end, and last the block's own, the beginning of the sentence that it ends in the best choice."""
     starts = np.array([0, *[c.start for c in found]])
     begins = np.array([0.0, *[b for _, b in weight]])
     ids: dict[tuple, int] = {((), False): 0}
     states = np.array([0, *[ids.setdefault(c.state, len(ids)) for c in found]])
-    best, back = np.full(len(found) + 2, -np.inf), np.zeros(len(found) + 2, np.int64)
-    best[0] = 0
+    back = np.zeros(len(found) + 2, np.int64)
+    sums = np.full(len(found) + 2, -np.inf)  # the best score up to a beginning, with what speaks for it
+    sums[0] = begins[0]
+    tops = np.full(len(found) // _STRIDE + 2, -np.inf)  # the highest of these in each stretch of _STRIDE
+    tops[0] = sums[0]
     for j in range(1, len(found) + 2):
         last = j > len(found)
-        end = whole if last else found[j - 1].end
-        score = best[:j] + begins[:j]
-        length = end - starts[:j]
-        score = score - np.where(length < 3, 4.0, 0.0) - 0.5 * np.log(np.maximum(length, 600) / 600)
+        cut = None if last else found[j - 1]
+        end = whole if last else cut.end
+
+        def scores(low: int, high: int) -> np.ndarray:
+            length = end - starts[low:high]
+            score = sums[low:high] - np.where(length < 3, 4.0, 0.0) - 0.5 * np.log(np.maximum(length, 600) / 600)
+            if not last:
+                score = score - np.where(states[low:high] != states[j], 8.0, 0.0)
+                if cut.bracket >= 0:  # a bracket inside a sentence doesn't end it
+                    score = score - np.where(cut.bracket > starts[low:high] + 1, 8.0, 0.0)
+            return score
+
+        stretch = (j - 1) // _STRIDE
+        low = stretch * _STRIDE
+        score = scores(low, j)
+        at = int(score.argmax())
+        most, back[j] = score[at], low + at
+        if stretch:  # no beginning in a stretch scores more than its highest sum less the penalty of the shortest length
+            ends = np.arange(1, stretch + 1) * _STRIDE - 1
+            bound = tops[:stretch] - 0.5 * np.log(np.maximum(end - starts[ends], 600) / 600)
+            for k in np.argsort(-bound, kind="stable"):
+                if bound[k] < most:
+                    break
+                score = scores(k * _STRIDE, (k + 1) * _STRIDE)
+                at = int(score.argmax())
+                if score[at] > most or score[at] == most and k * _STRIDE + at < back[j]:
+                    most, back[j] = score[at], k * _STRIDE + at
         if not last:
-            score = score - np.where(states[:j] != states[j], 8.0, 0.0)
-            if found[j - 1].bracket >= 0:  # a bracket inside a sentence doesn't end it
-                score = score - np.where(found[j - 1].bracket > starts[:j] + 1, 8.0, 0.0)
-            score = score + weight[j - 1][0]
-        back[j] = int(score.argmax())
-        best[j] = score[back[j]]
-    out, j = [], len(found) + 1
-    while j:
-        out.append((int(starts[back[j]]), whole if j > len(found) else found[j - 1].end))
-        j = int(back[j])
-    return out[::-1]
+            sums[j] = most + weight[j - 1][0] + begins[j]
+            tops[j // _STRIDE] = max(tops[j // _STRIDE], sums[j])
+    return back
 
 
 def blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -328,8 +415,8 @@ def _sightings(text: str, kind: str, blanks: bool) -> Iterator[tuple[str, str, i
         yield "start", _opening(head, 0), 1
 
 
-def learned(parts: DataFrame, least: int = 5, most: int = 100_000) -> Habits:
-    """The habits of all blocks; of the words seen `least` times, the `most` most frequent ones."""
+def learned(parts: DataFrame, least: int) -> DataFrame:
+    """role, word, sure and seen of all words seen `least` times in different blocks, and of each role as a whole (word null)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure, seen = Counter(), Counter()
@@ -348,29 +435,60 @@ def learned(parts: DataFrame, least: int = 5, most: int = 100_000) -> Habits:
 
     # Copies of a text say nothing new.
     counted = parts.select("kind", "blanks", "block").distinct().mapInArrow(count, "role string, word string, sure bigint, seen bigint")
-    kept = counted.groupBy("role", "word").agg(F.sum("sure").alias("sure"), F.sum("seen").alias("seen")).where(F.col("seen") >= least)
-    return Habits([tuple(r) for r in kept.orderBy(F.desc("seen"), "role", "word").limit(most).collect()])
+    summed = counted.groupBy("role", "word").agg(F.sum("sure").alias("sure"), F.sum("seen").alias("seen")).where(F.col("seen") >= least)
+    return written(summed.unionByName(summed.groupBy("role").agg(F.sum("sure").alias("sure"), F.sum("seen").alias("seen")).withColumn("word", F.lit(None).cast("string"))), "habits")
+
 
+def _wanted(table: pa.Table) -> pa.Table:
+    """The words whose habits a group of blocks asks for."""
+    keys = set()
+    for kind, blanks, block in zip(*[table[c].to_pylist() for c in ("kind", "blanks", "block")]):
+        for cut in cuts(block, kind, blanks):
+            keys |= {("end" + cut.mark + ("q" if cut.closed else ""), cut.close), ("start", cut.open)}
+    rows = sorted(keys)
+    group = table["group"][0].as_py()
+    return pa.table({"group": pa.array([group] * len(rows), pa.int64()), "role": pa.array([r for r, _ in rows], pa.string()), "word": pa.array([w for _, w in rows], pa.string())})
 
-def sentences(documents: DataFrame, key: str, text: str) -> DataFrame:
+
+def sentences(documents: DataFrame, key: str, text: str, least: int = 5, most: int = 500_000, group_blocks: int = 20_000) -> DataFrame:
     """`key`, start_pos and end_pos of each sentence of `text`, in code points, the end exclusive, without outer white space.
 
     Null, blank and code-only texts give no rows; a text that comes again, or has no key, gives its rows as any other; an empty table gives
-    none. Other columns are not looked at. A block of any length is parted in time linear in its length but for the
-    choice among its possible ends, which takes the square of their number.
+    none. Other columns are not looked at. Of a block of any length each end is compared with the beginnings of its own
+    stretch and of those others that a bound doesn't rule out.
+
+    What is learned of words seen `least` times goes to every task as long as it is of no more than `most` words; beyond,
+    blocks go in groups of about `group_blocks`, and each group gets what is known of its own words by a join.
     """
     parts = written(blocks(documents, key, text), "blocks")
-    habits = learned(parts)
+    known = learned(parts, least)
+    schema = f"`{key}` {dict(documents.dtypes)[key]}, start_pos bigint, end_pos bigint"
+    few = known.limit(most + 1).count() <= most
+    roles = [tuple(r) for r in (known if few else known.where("word IS NULL")).collect()]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        habits = Habits(roles)
         for batch in batches:
-            row, low, high = [], [], []
-            at, kind, blanks, block = [batch.column(k).to_pylist() for k in range(1, 5)]
-            for i in range(batch.num_rows):
-                for a, b in spans(block[i], kind[i], blanks[i], habits):
-                    row.append(i)
-                    low.append(at[i] + a)
-                    high.append(at[i] + b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=[key, "start_pos", "end_pos"])
-
-    return parts.mapInArrow(choose, f"`{key}` {dict(documents.dtypes)[key]}, start_pos bigint, end_pos bigint")
+            yield pa.RecordBatch.from_arrays(_chosen(batch.columns, habits), names=[key, "start_pos", "end_pos"])
+
+    if few:
+        return parts.mapInArrow(choose, schema)
+
+    def choose_group(own: pa.Table, words: pa.Table) -> pa.Table:
+        habits = Habits([*roles, *zip(*[words[c].to_pylist() for c in ("role", "word", "sure", "seen")])])
+        return pa.table(_chosen([own[c].combine_chunks() for c in ("key", "at", "kind", "blanks", "block")], habits), names=[key, "start_pos", "end_pos"])
+
+    grouped = parts.withColumn("group", F.pmod(F.xxhash64("key", "at"), F.lit(max(1, parts.count() // group_blocks))))
+    asked = grouped.groupBy("group").applyInArrow(_wanted, "group bigint, role string, word string")
+    told = asked.join(known, ["role", "word"])
+    return grouped.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(choose_group, schema)
+
+
+def _chosen(columns: list[pa.Array], habits: Habits) -> list[pa.Array]:
+    row, low, high = [], [], []
+    for i, (at, kind, blanks, block) in enumerate(zip(*[c.to_pylist() for c in columns[1:]])):
+        for a, b in spans(block, kind, blanks, habits):
+            row.append(i)
+            low.append(at + a)
+            high.append(at + b)
+    return [columns[0].take(pa.array(row, pa.int32())), pa.array(low, pa.int64()), pa.array(high, pa.int64())]

@@ -1,6 +1,10 @@
+import random
+
 import pytest
 
-from quarrymill.llm.sentences import Habits, blanks_end, blocks_of, sentences, spans
+from quarrymill.llm.sentences import Habits, _few, _many, _weights, blanks_end, blocks_of, cuts, sentences, spans
+from quarrymill.session import table
+from tests.compare import SF
 
 # Each list joined by what stands between; the operator has to find the list again.
 CASES = {
@@ -51,5 +55,27 @@ def test_habits_learned_from_all_texts(spark):
 
 
 def test_spans_part_a_long_block():
-    text = "Word by word. " * 3000
-    assert len(found(text)) == 3000
+    text = "Word by word. " * 100_000
+    assert len(found(text)) == 100_000
+
+
+def test_far_beginnings_are_found():
+    """One sentence over more ends than a stretch holds, none of which is one, between two others."""
+    text = "It began. See " + "approx. x " * 900 + "and ended. Then came another."
+    assert found(text) == ["It began.", text[10:-19].strip(), "Then came another."]
+
+
+def test_few_and_many_ends_are_chosen_alike():
+    rnd = random.Random(2)
+    parts = ["Word goes.", "e.g. it", '"Say it.', 'End."', "(see", "this.)", "x. y", "No. 5", "long " * 150, "!", "Dr. Who", "“Why?”", "and so"]
+    for _ in range(40):
+        text = " ".join(rnd.choice(parts) for _ in range(rnd.randrange(40)))
+        cut = cuts(text, "text", False)
+        weight = [_weights(text, c, Habits([])) for c in cut]
+        assert list(_few(cut, weight, len(text.rstrip()))) == list(_many(cut, weight, len(text.rstrip())))
+
+
+def test_habits_by_groups_as_by_all(spark):
+    docs = table(spark, SF, "kb_documents").select("file_id", "content")
+    whole = sorted(tuple(r) for r in sentences(docs, "file_id", "content").collect())
+    assert sorted(tuple(r) for r in sentences(docs, "file_id", "content", most=3, group_blocks=50).collect()) == whole
