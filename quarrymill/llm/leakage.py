@@ -2,9 +2,9 @@
 
 Every run of `stretch` characters (a gram) of an item is a possible seed. One pass over the corpus finds the item grams
 in each document by rolling hashes and writes them down; all later steps work on these few rows. Per item the grams
-that most documents hold are given up as seeds as long as they cover less than the share that makes a case, so a true
-case always keeps a rarer one. Documents and items that share a seed are aligned (Smith-Waterman, by letters) and the
-item's characters in common stretches are counted.
+that most documents hold are given up as seeds as long as they cover less than the least share of interest, so that what
+holds more always keeps a rarer one. Documents and items that share a seed are aligned (Smith-Waterman, by letters), which
+scores edited copies, and the item's characters in common stretches are counted.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.session import written
+from quarrymill.session import bounded_broadcast, written
 
 _OTHER = re.compile(r"[\W_]+")
 _BASE = np.uint32(0x9E3779B1)
+_WIDE = 0x9E3779B97F4A7C15
 _SPAN = 1 << 17  # characters looked at together
 MARGIN = 64
+TASK_CELLS = 50_000_000  # what one task aligns, about
 
 
 def letters(text: str | None) -> str:
@@ -33,18 +35,28 @@ def letters(text: str | None) -> str:
     return _OTHER.sub("", unicodedata.normalize("NFKC", text or "").lower())
 
 
-def item_grams(items: DataFrame, stretch: int, dense_stretch: int, dense_langs: tuple[str, ...]) -> DataFrame:
-    """item, size (its characters), span (its stretch), at and gram, for each gram of each item."""
+def _run(span: int) -> tuple[int, int]:
+    """Of a stretch of `span` characters, one of the runs of this length that start at multiples of this step lies within it."""
+    run = span - span // 2 if span > 16 else span - span // 3
+    return run, span - run + 1
+
+
+def item_table(items: DataFrame, stretch: int, dense_stretch: int, dense_langs: tuple[str, ...]) -> DataFrame:
+    """item, span (its stretch), letters, the hashes of its grams, and those of its shorter runs; one row for each different text of an item."""
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([letters(t) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["item", "letters", "span"])
+            own = [letters(t) for t in b.column(1).to_pylist()]
+            codes, spans = [_codes(t) for t in own], b.column(2).to_pylist()
+            grams = [_rolled(c, s).view(np.int64).tolist() for c, s in zip(codes, spans)]
+            runs = [_strided(c, _run(s)[0], 1).astype(np.int64).tolist() for c, s in zip(codes, spans)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(own, pa.string()), pa.array(grams, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))], names=["item", "span", "letters", "grams", "runs"]
+            )
 
     span = F.when(F.lower(F.trim("lang")).isin(*dense_langs), dense_stretch).otherwise(stretch)
-    plainly = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").alias("item"), F.col("text").alias("letters"), span.alias("span")).mapInArrow(plain, "item bigint, letters string, span int")
-    starts = F.sequence(F.lit(0), F.length("letters") - F.col("span"))
-    at = plainly.where(F.length("letters") >= F.col("span")).withColumn("at", F.explode(starts))
-    return at.select("item", F.length("letters").alias("size"), "span", "at", F.expr("substring(letters, at + 1, span)").alias("gram"), "letters")
+    known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").alias("item"), "text", span.alias("span"))
+    return known.mapInArrow(plain, "item bigint, span int, letters string, grams array<bigint>, runs array<bigint>").where(F.size("grams") > 0).groupBy("item").agg(F.max(F.struct("letters", "span", "grams", "runs")).alias("x")).select("item", "x.*")
 
 
 def leaks(
@@ -54,46 +66,65 @@ def leaks(
     dense_stretch: int = 12,
     dense_langs: tuple[str, ...] = ("zh", "ja"),
     share: float = 0.5,
-    gram_limit: int = 1_000_000,
+    edited_share: float = 0.25,
+    gram_limit: int = 4_000_000,
 ) -> DataFrame:
-    """doc_id, item_id, covered, item_chars and alignment of every document and item with at least `share` of the item covered.
+    """doc_id, item_id, covered, item_chars, alignment and kind of every document that holds at least `share` of an item, as it is or edited.
 
     covered counts the item's characters in stretches of at least `stretch` (for items in `dense_langs`:
     `dense_stretch`) characters that occur in the document too, anywhere and in any order; alignment is the local
-    alignment score (1 a match, -1 a mismatch or gap). Texts are compared by letters(). Null and empty texts and items
-    shorter than a stretch match nothing, nor do rows without an id; rows that repeat give a pair once; an empty table gives no rows; other columns
-    are not looked at. Items are held in every task, in as many passes as keep each at `gram_limit` grams (8 bytes each).
+    alignment score (1 a match, -1 a mismatch or gap) with what lies between the common stretches of the document and
+    MARGIN characters around. kind is 'copied' where covered reaches the share of the item's
+    characters, and 'edited' where covered reaches `edited_share` and the alignment the share: a copy with words changed,
+    put in or left out.
+    Texts are compared by letters(). Null and empty texts and items shorter than a stretch match nothing, nor do rows
+    without an id; an item_id that comes twice counts with the later of its texts; rows that repeat give a pair once; an empty
+    table gives no rows; other columns are not looked at. Hashes of the items go to every task, twelve bytes a
+    character, in as many passes as keep each at `gram_limit` characters.
     """
-    grams = written(item_grams(items, stretch, dense_stretch, dense_langs), "item-grams")
-    passes = max(1, -(-grams.count() // gram_limit))
+    table = written(item_table(items, stretch, dense_stretch, dense_langs), "items")
+    passes = max(1, -(-(table.agg(F.sum(F.size("grams"))).first()[0] or 0) // gram_limit))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("copy"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     hits = None
     for k in range(passes):
-        own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k) if passes > 1 else grams
-        wanted = [r.gram for r in own.select("gram").distinct().toLocalIterator()]
-        found = documents.select("doc_id", F.xxhash64("text").alias("copy"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).mapInArrow(_finder(wanted), "doc bigint, copy bigint, near string, grams array<string>")
+        own = table.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else table
+        found = texts.mapInArrow(_finder(_hashes(own, "grams"), _hashes(own, "runs")), "doc bigint, copy bigint, near string, grams array<bigint>")
         hits = found if hits is None else hits.unionByName(found)
     hits = written(hits, "leak-hits")
 
-    places = grams.select("item", "size", "span", "at", "gram")
-    met = hits.select("doc", "copy", F.explode("grams").alias("gram"))
+    size = F.length("letters").alias("size")
+    places = table.select("item", size, "span", F.posexplode("grams").alias("at", "gram"))
+    met = hits.select("doc", "copy", F.explode("grams").alias("gram")).distinct()
     spread = met.groupBy("gram").agg(F.count_distinct("doc").alias("docs"))
-    known = places.join(spread, "gram").groupBy("item").applyInPandas(_rare(share), "item bigint, at int, rare boolean")
+    known = places.join(spread, "gram").groupBy("item").applyInPandas(_rare(min(share, edited_share)), "item bigint, at int, rare boolean")
     matches = met.join(places, "gram").join(known, ["item", "at"])
     seeded = Window.partitionBy("doc", "copy", "item")
     matches = matches.withColumn("seeded", F.max("rare").over(seeded)).where("seeded")
 
     before = F.lag("at").over(seeded.orderBy("at"))
     new = F.least(F.col("span"), F.coalesce(F.col("at") - before, F.col("span")))
-    covered = matches.select("doc", "copy", "item", "size", new.alias("new")).groupBy("doc", "copy", "item", "size").agg(F.sum("new").alias("covered"))
-    texts = grams.where("at = 0").select("item", "letters", "span")
-    pairs = covered.join(hits.select("doc", "copy", "near"), ["doc", "copy"]).join(texts, "item")
-    aligned = pairs.repartition("item", F.pmod(F.xxhash64("doc"), F.lit(16))).sortWithinPartitions("item")
-    scored = aligned.mapInPandas(_align, "doc bigint, item bigint, covered bigint, size int, span int, alignment int")
-    # A common stretch alone scores its length, so the alignment can't fail a case that the count of characters allows.
-    cases = scored.where((F.col("alignment") >= F.col("span")) & (F.col("covered") >= share * F.col("size")))
-    return cases.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
-        F.max("covered").alias("covered"), F.max("size").alias("item_chars"), F.max("alignment").alias("alignment")
-    )
+    covered = matches.select("doc", "copy", "item", "size", "span", new.alias("new")).groupBy("doc", "copy", "item", "size", "span").agg(F.sum("new").alias("covered"))
+    covered = written(covered.join(hits.select("doc", "copy", F.length("near").alias("width")).distinct(), ["doc", "copy"]), "covered")
+    # An item in many or long documents is aligned in as many tasks as that takes.
+    load = covered.groupBy("item").agg(F.sum(F.col("width") * F.col("size")).alias("cells"))
+    parts = written(load.select("item", F.ceil(F.col("cells") / TASK_CELLS).cast("int").alias("parts")), "parts")
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (parts.agg(F.sum("parts")).first()[0] or 0))
+    split = covered.join(bounded_broadcast(parts), "item").withColumn("part", F.pmod(F.xxhash64("doc", "copy"), "parts"))
+    pairs = split.join(hits.select("doc", "copy", "near").dropDuplicates(["doc", "copy"]), ["doc", "copy"]).join(bounded_broadcast(table.select("item", "letters"), 100_000), "item")
+    aligned = pairs.select("doc", "item", "covered", "size", "near", "letters", "part").repartition(tasks, "item", "part").sortWithinPartitions("item")
+    scored = aligned.mapInPandas(_align, "doc bigint, item bigint, covered bigint, size int, alignment int")
+    best = scored.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("covered").alias("covered"), F.max("size").alias("item_chars"), F.max("alignment").alias("alignment"))
+    chars = F.col("item_chars")
+    edited = (F.col("covered") >= edited_share * chars) & (F.col("alignment") >= share * chars)
+    kind = F.when(F.col("covered") >= share * chars, "copied").when(edited, "edited")
+    return best.withColumn("kind", kind).where("kind is not null")
+
+
+def _hashes(table: DataFrame, column: str) -> dict[int, np.ndarray]:
+    """The different hashes of each stretch, sorted; no more than gram_limit."""
+    rows = table.select("span", F.explode(column).alias("hash")).distinct().toArrow()
+    span, hashes = rows["span"].to_numpy(), rows["hash"].to_numpy()
+    return {int(k): np.sort(hashes[span == k]) for k in np.unique(span)}
 
 
 def _rare(share: float):
@@ -129,25 +160,32 @@ def _strided(codes: np.ndarray, run: int, step: int) -> np.ndarray:
     return out * _BASE
 
 
-def _finder(grams: list[str]):
-    # Of a stretch of `span` characters, one of the runs of length `run` that start at multiples of `step` lies within
-    # it if run + step - 1 <= span; looking up these alone shows which texts may hold a gram at all.
-    by_span: dict[int, list[str]] = {}
-    for g in grams:
-        by_span.setdefault(len(g), []).append(g)
-    probes = []
-    for span, own in by_span.items():
-        run = span - span // 2 if span > 16 else span - span // 3
-        runs = np.unique(np.concatenate([_strided(_codes("".join(own))[k:], run, span) for k in range(span - run + 1)]))
-        probes.append((run, span - run + 1, runs))
-    exact = {span: set(own) for span, own in by_span.items()}
-
+def _rolled(codes: np.ndarray, span: int) -> np.ndarray:
+    """A 64-bit hash of every run of `span` characters, put together from runs of doubled lengths."""
+    n = len(codes) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, block, width, power = np.zeros(n, np.uint64), 0, codes.astype(np.uint64), 1, _WIDE
+    while True:
+        if span & width:
+            out = out * np.uint64(power) + block[done : done + n]
+            done += width
+        if done == span:
+            break
+        block = block[:-width] * np.uint64(power) + block[width:]
+        width, power = 2 * width, power * power % (1 << 64)
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0x7FB5D329728EA185)
+    return out ^ out >> np.uint64(29)
+
+
+def _finder(grams: dict[int, np.ndarray], runs: dict[int, np.ndarray]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _letter_table()
-        coarse = []
-        for _, _, runs in probes:
-            coarse.append(np.zeros(1 << 20, bool))
-            coarse[-1][runs >> 12] = True
+        kept, probes = _letter_table(), []
+        for span, own in runs.items():  # looking up few runs shows which texts may hold a gram at all
+            coarse = np.zeros(1 << 20, bool)
+            coarse[own >> 12] = True
+            probes.append((*_run(span), own, coarse))
         for batch in batches:
             texts, out, at = batch.column(2).to_pylist(), [], 0
             while at < len(texts):
@@ -156,10 +194,10 @@ def _finder(grams: list[str]):
                     group.append(_folded(texts[at]))
                     chars += len(group[-1])
                     at += 1
-                out += [(first + i, *held) for i, held in _held(group, probes, coarse, exact, kept)]
+                out += [(first + i, *held) for i, held in _held(group, probes, grams, kept)]
             rows = pa.array([r[0] for r in out], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.list_(pa.string()))],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.list_(pa.int64()))],
                 names=["doc", "copy", "near", "grams"],
             )
 
@@ -178,24 +216,32 @@ def _letter_table() -> np.ndarray:
     return table
 
 
-def _held(group: list[str], probes: list, coarse: list[np.ndarray], exact: dict[int, set[str]], kept: np.ndarray) -> Iterator[tuple[int, tuple[str, list[str]]]]:
+def _among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def _held(group: list[str], probes: list, grams: dict[int, np.ndarray], kept: np.ndarray) -> Iterator[tuple[int, tuple[str, np.ndarray]]]:
     """Of each text that holds item grams: its place in the group, the part around them and the grams."""
     codes = _codes("\0".join(group))
     codes = codes[kept[codes]]
     ends = np.append(np.flatnonzero(codes == 0), len(codes))
     touched: set[int] = set()
-    for (run, step, runs), table in zip(probes, coarse):
+    for run, step, runs, coarse in probes:
         hashes = _strided(codes, run, step)
-        maybe = np.flatnonzero(table[hashes >> 12])
-        place = np.minimum(np.searchsorted(runs, hashes[maybe]), len(runs) - 1)
-        met = maybe[runs[place] == hashes[maybe]] * step
+        maybe = np.flatnonzero(coarse[hashes >> 12])
+        met = maybe[_among(runs, hashes[maybe].astype(np.int64))] * step
         touched.update(np.searchsorted(ends, met).tolist())
     for i in sorted(touched):
-        text = codes[ends[i - 1] + 1 if i else 0 : ends[i]].tobytes().decode("utf-32-le", "surrogatepass")
-        own = [(p, text[p : p + span]) for span, grams in exact.items() for p in range(len(text) - span + 1) if text[p : p + span] in grams]
-        if own:
-            low, high = min(p for p, _ in own), max(p + len(g) for p, g in own)
-            yield i, (text[max(0, low - MARGIN) : high + MARGIN], list({g for _, g in own}))
+        own = codes[ends[i - 1] + 1 if i else 0 : ends[i]]
+        low, high, found = len(own), 0, []
+        for span, known in grams.items():
+            hashes = _rolled(own, span).view(np.int64)
+            at = np.flatnonzero(_among(known, hashes))
+            if len(at):
+                low, high = min(low, int(at[0])), max(high, int(at[-1]) + span)
+                found.append(np.unique(hashes[at]))
+        if found:
+            yield i, (own[max(0, low - MARGIN) : high + MARGIN].tobytes().decode("utf-32-le", "surrogatepass"), np.concatenate(found))
 
 
 def _align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,26 +253,35 @@ def _align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             width = own["near"].str.len().sort_values()
             part: list[int] = []
             for at, w in width.items():  # texts of about one length together, padded to the longest
-                if part and w * (len(part) + 1) > 1 << 17:
+                if part and w * (len(part) + 1) > 1 << 16:
                     score[part] = _local(letters_of, [_codes(own["near"][i]) for i in part])
                     part = []
                 part.append(at)
             score[part] = _local(letters_of, [_codes(own["near"][i]) for i in part])
-        yield frame[["doc", "item", "covered", "size", "span"]].assign(alignment=score)
+        yield frame[["doc", "item", "covered", "size"]].assign(alignment=score)
 
 
 def _local(item: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     """The best local alignment score of the item with each text; all texts advance one row of the table at a time."""
     wide = max(map(len, texts))
+    small = np.int16 if wide + len(item) < 1 << 14 else np.int32
     grid = np.zeros((len(texts), wide), np.uint32)  # 0 matches no letter
     for row, text in zip(grid, texts):
         row[: len(text)] = text
-    slope = np.arange(wide, dtype=np.int32)
-    above, best = np.zeros((len(texts), wide + 1), np.int32), np.zeros(len(texts), np.int32)
-    for letter in item:
-        now = np.maximum(above[:, :-1] + np.where(grid == letter, 1, -1), above[:, 1:] - 1)
+    slope = np.arange(wide, dtype=small)
+    above, best, now = np.zeros((len(texts), wide + 1), small), np.zeros((len(texts), wide), small), np.empty((len(texts), wide), small)
+    gains: dict[int, np.ndarray] = {}
+    for letter in item.tolist():
+        if letter not in gains:
+            if len(gains) > 64:
+                gains.clear()
+            gains[letter] = np.where(grid == letter, small(1), small(-1))
+        np.add(above[:, :-1], gains[letter], out=now)
+        np.maximum(now, above[:, 1:] - small(1), out=now)
         np.maximum(now, 0, out=now)
-        now = np.maximum.accumulate(now + slope, axis=1) - slope  # gaps in the item
-        np.maximum(best, now.max(axis=1), out=best)
+        now += slope
+        np.maximum.accumulate(now, axis=1, out=now)  # gaps in the item
+        now -= slope
+        np.maximum(best, now, out=best)
         above[:, 1:] = now
-    return best
+    return best.max(axis=1).astype(np.int32)
