@@ -90,7 +90,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrymill.llm.mixing import mix, unreachable
 
-    return unreachable(mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report)
+    # A document's source is certain here; the classifier's chances count for documents of no listed source.
+    return unreachable(mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), label_weight=1.0).report)
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
