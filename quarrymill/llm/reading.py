@@ -4,7 +4,7 @@ The models are fitted on the documents with human labels: first every paragraph
 paragraphs are told apart by these first models and the models fitted again, as a document may hold prose of several
 levels. Each paragraph of the corpus takes the level of the highest posterior likelihood, and a document that of the
 greater part of its prose. Titles, code, log lines and footers aren't prose; footers are the short last lines that come
-back throughout the corpus, counted over all documents.
+back throughout a source, counted over all documents.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.mixing import source_name
 from quarrymill.session import written
 
 LEVELS = (1, 2, 3)
@@ -27,17 +28,21 @@ _RULE = re.compile(r"[\W_]*$")
 _WORD = re.compile(r"[^\W\d_\u0e00-\u0e7f\u2e80-\U0003ffff]+|[\u0e00-\u0e7f\u2e80-\u2fff\u3005-\u3007\u3031-\uffef\U00020000-\U0003ffff]+")
 
 
-def footers(documents: DataFrame, share: float = 0.002, least: int = 3, longest: int = 120) -> list[str]:
-    """Last lines of at most `longest` characters that at least `share` of the documents end in, and at least `least`.
+def footers(documents: DataFrame, share: float = 0.005, least: int = 3, longest: int = 120) -> list[str]:
+    """Last lines of at most `longest` characters that at least `share` of some source's documents end in, and at least `least`.
 
-    As each document has one last line, there are no more than 1 / share. Documents alike before that line count once.
+    Other sources make no difference to that; what is a footer in one is one in all. As each document has one last line,
+    a source has no more than 1 / share. Documents alike before that line count once. Without a column `source` all
+    documents are of one.
     """
+    source = F.coalesce(source_name(F.col("source")), F.lit("")) if "source" in documents.columns else F.lit("")
     body = F.rtrim(F.regexp_replace("text", r"\s+$", ""))
-    ends = documents.select(F.substring_index(body, "\n", -1).alias("line"), body.alias("body")).where((F.length("line") > 0) & (F.length("line") <= longest))
-    total = documents.count()
-    ends = ends.select("line", F.xxhash64(F.expr("left(body, length(body) - length(line))")).alias("rest"))
-    counted = ends.groupBy("line").agg(F.approx_count_distinct("rest").alias("n"), F.count("*").alias("rows"))
-    return sorted(r.line.strip() for r in counted.where((F.col("n") >= least) & (F.col("rows") >= share * total)).collect())
+    ends = documents.select(source.alias("of"), F.substring_index(body, "\n", -1).alias("line"), body.alias("body")).where((F.length("line") > 0) & (F.length("line") <= longest))
+    totals = documents.groupBy(source.alias("of")).agg(F.count("*").alias("total"))
+    ends = ends.select("of", "line", F.xxhash64(F.expr("left(body, length(body) - length(line))")).alias("rest"))
+    counted = ends.groupBy("of", "line").agg(F.approx_count_distinct("rest").alias("n"), F.count("*").alias("rows")).where(F.col("n") >= least)
+    found = counted.join(totals, "of").where(F.col("rows") >= share * F.col("total"))
+    return sorted({r.line.strip() for r in found.select("line").distinct().collect()})
 
 
 def prose(text: str, footer: frozenset[str] = frozenset()) -> list[str]:
@@ -108,13 +113,13 @@ def seeded(documents: DataFrame, most: int) -> DataFrame:
     return scored.select(F.when(F.col("score") <= low, 1).when(F.col("score") <= high, 2).otherwise(3).alias("level"), "text")
 
 
-def fitted(sample: DataFrame, footer: frozenset[str], smoothing: float = 0.1, least: int = 2, vocabulary: int = 200_000, rounds: int = 2) -> Model | None:
+def fitted(sample: DataFrame, footer: frozenset[str], smoothing: float = 0.1, least: int = 2, rounds: int = 2) -> Model | None:
+    """The models of a sample, whose size bounds their tokens."""
     model = None
     for _ in range(rounds):
         counted = sample.select("level", "text").mapInArrow(_counter(footer, model), "token string, level int, n bigint, docs bigint")
         wide = counted.groupBy("token").agg(*[F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in LEVELS], F.sum("docs").alias("docs"))
-        # What every task holds: no more than `vocabulary` tokens.
-        counts = wide.where(F.col("docs") >= least).orderBy(F.desc("docs"), "token").limit(vocabulary).select("token", *[f"n{k}" for k in LEVELS]).toArrow()
+        counts = wide.where(F.col("docs") >= least).select("token", *[f"n{k}" for k in LEVELS]).orderBy("token").toArrow()
         if counts.num_rows:
             model = Model(counts, smoothing)
     return model
@@ -124,7 +129,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most_labelled: int =
     """doc_id, reading_level and the prose characters of each level of every document (doc_id, text) with prose.
 
     `labels` has doc_id and reading_level; nulls, other numbers and contradicting labels aren't used, and without any
-    label the models are seeded by a formula. The models see at most `most_labelled` documents. Null, blank, code-only
+    label the models are seeded by a formula. The models see at most `most_labelled` documents, whose tokens every task holds. Null, blank, code-only
     and log-only texts give no row; ids that repeat, null ones too, give a row each; of equal parts the easier level wins; an empty
     table gives no rows.
     """

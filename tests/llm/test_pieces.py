@@ -38,6 +38,32 @@ def test_balanced_covers_within_the_limit(text):
     assert len(ends) <= 2 * max(1, -(-(len(text) - 8) // 56)) + 1
 
 
+def balanced_by_trying(text, size, overlap):
+    """Balanced targets as they stand: every place around a target is looked at, the strongest kind first, then the nearest, then the earlier."""
+    kinds = (["\n\n"], ["\n"], ["。", "！", "？", "।", "؟", ". ", "! ", "? "], [" ", "　"])
+    count = max(1, -(-(len(text) - overlap) // (size - overlap)))
+    while len(text) > size:
+        length = (len(text) + (count - 1) * overlap) / count
+        reach = max(0, min(size // 8, int(length - overlap) // 2 - 1))
+        ends = []
+        for k in range(1, count):
+            target = round(k * length - (k - 1) * overlap)
+            around = [(rank, abs(end - target), end) for end in range(target - reach, target + reach + 1) for rank, marks in enumerate(kinds) if any(text[:end].endswith(m) for m in marks)]
+            ends.append(min(around)[2] if around else target)
+        ends.append(len(text))
+        starts = [0] + [e - overlap for e in ends[:-1]]
+        if all(0 < e - s <= size for s, e in zip(starts, ends)) and sorted(set(ends)) == ends:
+            return ends
+        count += 1
+    return [len(text)]
+
+
+@given(TEXTS)
+@settings(max_examples=150, deadline=None)
+def test_balanced_as_by_trying_all_places(text):
+    assert balanced_ends(text, 64, 8) == balanced_by_trying(text, 64, 8)
+
+
 def test_balanced_pieces_are_of_about_one_length():
     ends = balanced_ends("word " * 400, 512, 64)
     assert len(ends) == 5 and max(ends[0], 2000 - ends[-2] + 64) - min(ends[0], 2000 - ends[-2] + 64) < 10

@@ -42,6 +42,14 @@ def test_footers(spark):
     assert footers(spark.createDataFrame(corpus()[0], "doc_id bigint, text string")) == ["Page kept by the team."]
 
 
+def test_other_sources_take_no_footer_away(spark):
+    rnd = random.Random(6)
+    small = [(i, f"{paragraph(rnd, 1)}\n\nKept by the harbour office.", " Harbour ") for i in range(5)]
+    large = [(100 + i, f"{paragraph(rnd, 2)} {i}", "rest") for i in range(3000)]
+    alone, beside = (footers(spark.createDataFrame(rows, "doc_id bigint, text string, source string")) for rows in (small, small + large))
+    assert alone == beside == ["Kept by the harbour office."]
+
+
 def test_prose_and_tokens():
     assert prose("# T\n\n- one\n> two\n\n```\ncode\n```\nQ: three\n***\nF", frozenset({"F"})) == ["one two", "three"]
     assert tokens("Über A1 向量库 好。カナ") == ["über", "<4>", "a", "<1>", "向量", "量库", "好", "カナ"]
