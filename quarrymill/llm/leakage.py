@@ -106,9 +106,9 @@ def leaks(
     covered = matches.select("doc", "copy", "item", "size", "span", new.alias("new")).groupBy("doc", "copy", "item", "size", "span").agg(F.sum("new").alias("covered"))
     covered = written(covered.join(hits.select("doc", "copy", F.length("near").alias("width")).distinct(), ["doc", "copy"]), "covered")
     # An item in many or long documents is aligned in as many tasks as that takes.
-    load = covered.groupBy("item").agg(F.sum(F.col("width") * F.col("size")).alias("cells"))
-    parts = written(load.select("item", F.ceil(F.col("cells") / TASK_CELLS).cast("int").alias("parts")), "parts")
-    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (parts.agg(F.sum("parts")).first()[0] or 0))
+    load = written(covered.groupBy("item").agg(F.sum(F.col("width") * F.col("size")).alias("cells")), "load")
+    parts = load.select("item", F.ceil(F.col("cells") / TASK_CELLS).cast("int").alias("parts"))
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (load.agg(F.sum("cells")).first()[0] or 0) // TASK_CELLS)
     split = covered.join(bounded_broadcast(parts), "item").withColumn("part", F.pmod(F.xxhash64("doc", "copy"), "parts"))
     pairs = split.join(hits.select("doc", "copy", "near").dropDuplicates(["doc", "copy"]), ["doc", "copy"]).join(bounded_broadcast(table.select("item", "letters"), 100_000), "item")
     aligned = pairs.select("doc", "item", "covered", "size", "near", "letters", "part").repartition(tasks, "item", "part").sortWithinPartitions("item")
