@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
 from quarrymill.errors import ConfigError
+from quarrymill.operators.splitting import LADDER
 
 TRUE = ("1", "true", "yes", "on", "y", "是")
 
@@ -14,7 +15,8 @@ TRUE = ("1", "true", "yes", "on", "y", "是")
 @dataclass(frozen=True)
 class Chunking:
     size: int = 512
-    overlap: int = 64
+    overlap: int = 128
+    separators: tuple[str, ...] = LADDER
 
     def __post_init__(self) -> None:
         if self.size <= 0 or not 0 <= self.overlap < self.size:
@@ -48,12 +50,24 @@ class Settings:
     folder: str = "./index"
 
 
-def from_env(env: Mapping[str, str] = os.environ) -> Settings:
+def env_file(path: str = ".env") -> dict[str, str]:
+    """The variables of a file of NAME=value lines; none without the file."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.strip().removeprefix("export ").split("=", 1) for line in f if "=" in line and not line.lstrip().startswith("#")]
+    return {name.strip(): value.strip().strip("\"'") for name, value in pairs}
+
+
+def from_env(env: Mapping[str, str] | None = None) -> Settings:
+    """Settings by the variables of the environment, or of a file .env beside it where the environment says nothing."""
+    env = env_file() | dict(os.environ) if env is None else env
+
     def read(kind: type):
         found = {}
         for f in fields(kind):
             raw = env.get(f"QUARRYMILL_{f.name.upper()}")
-            if raw is None:
+            if raw is None or f.type not in ("bool", "int", "float"):
                 continue
             try:
                 found[f.name] = raw.strip().lower() in TRUE if f.type == "bool" else {"int": int, "float": float}[f.type](raw)

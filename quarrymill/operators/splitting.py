@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
 import pyarrow as pa
@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 LADDER = ("\n\n", "\n", "。", "！", "？", "；", "，", ". ", "! ", "? ", "; ", ", ", " ", "")
 
 
-def packed(pieces: list[str], gap: str, size: int, overlap: int) -> Iterator[str]:
+Length = Callable[[str], int]
+
+
+def packed(pieces: list[str], gap: str, size: int, overlap: int, length: Length = len) -> Iterator[str]:
     """Pieces in a row joined up to the size; each chunk after the first begins with the whole pieces that end the one before, up to the overlap."""
-    ends = [0, *accumulate(len(p) + len(gap) for p in pieces)]
+    joint = length(gap)
+    ends = [0, *accumulate(length(p) + joint for p in pieces)]
     first = 0
     for i in range(1, len(pieces) + 1):
-        if i < len(pieces) and ends[i + 1] - ends[first] - len(gap) <= size:
+        if i < len(pieces) and ends[i + 1] - ends[first] - joint <= size:
             continue
         yield gap.join(pieces[first:i])
         if i < len(pieces):
             back = i
-            while overlap and back > first and ends[i] - ends[back - 1] - len(gap) <= overlap:
+            while overlap and back > first and ends[i] - ends[back - 1] - joint <= overlap:
                 back -= 1
             first = back
 
@@ -38,35 +42,55 @@ def windows(text: str, size: int, overlap: int) -> Iterator[str]:
         at += step
 
 
-def chunks_of(text: str, size: int, overlap: int, ladder: tuple[str, ...] = LADDER) -> Iterator[str]:
-    level = next((i for i, gap in enumerate(ladder) if gap in text), len(ladder))
-    gap = ladder[level] if level < len(ladder) else ""
-    if not gap:
+def forced_windows(text: str, size: int, overlap: int) -> Iterator[str]:
+    """Equal windows from every start below the length: what becomes of a piece when no separator is left."""
+    for at in range(0, len(text), max(1, size - overlap)):
+        yield text[at : at + size]
+
+
+def chunks_of(text: str, size: int, overlap: int, ladder: tuple[str, ...] = LADDER, length: Length = len) -> Iterator[str]:
+    """The chunks of a text, by the first separator of the ladder that it holds, oversized pieces by those after it.
+
+    Without any the text is parted between characters. Only a ladder that doesn't end in the empty separator can leave
+    an oversized piece with no separator to try; it is cut into forced_windows().
+    """
+    level = next((i for i, gap in enumerate(ladder) if gap in text), None)
+    gap = "" if level is None else ladder[level]
+    rest = () if level is None else ladder[level + 1 :]
+    if not gap and length is len:
         yield from windows(text, size, overlap)
         return
-    for fits, pieces in groupby(text.split(gap), lambda p: len(p) <= size):
+    for fits, pieces in groupby(text.split(gap) if gap else text, lambda p: length(p) <= size):
         if fits:
-            yield from packed(list(pieces), gap, size, overlap)
-        else:
-            for piece in pieces:
-                yield from chunks_of(piece, size, overlap, ladder[level + 1 :])
+            yield from packed(list(pieces), gap, size, overlap, length)
+            continue
+        for piece in pieces:
+            yield from chunks_of(piece, size, overlap, rest, length) if rest else forced_windows(piece, size, overlap)
 
 
-def split_documents(documents: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:
-    """key, chunk_index and text of the chunks of every document; blank chunks are dropped before the numbering."""
+def split_documents(
+    documents: DataFrame, key: str, text: str, size: int = 512, overlap: int = 128, ladder: tuple[str, ...] = LADDER, length: Length = len, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """key, chunk_index and text of the chunks of every document, with the columns `carry`; blank chunks are dropped before the numbering.
+
+    `length` measures a text, by default in code points; null and empty texts give no rows.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, index, out = [], [], []
-            for i, content in enumerate(batch.column(1).to_pylist()):
-                own = [c for c in chunks_of(content, size, overlap) if c.strip()]
+            for i, content in enumerate(batch.column(0).to_pylist()):
+                own = [c for c in chunks_of(content, size, overlap, ladder, length) if c.strip()]
                 row += [i] * len(own)
                 index += range(len(own))
                 out += own
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(index, pa.int32()), pa.array(out, pa.string())], names=[key, "chunk_index", "text"])
+            kept = [c.take(pa.array(row, pa.int32())) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(index, pa.int32()), pa.array(out, pa.string())], names=[*batch.schema.names[1:], "chunk_index", "text"])
 
-    kind = dict(documents.dtypes)[key]
-    return documents.select(key, F.col(text).alias("text")).where(F.length("text") > 0).mapInArrow(split, f"`{key}` {kind}, chunk_index int, text string")
+    kinds = dict(documents.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry))
+    held = documents.select(F.col(text).alias("__text"), key, *carry).where(F.length("__text") > 0)
+    return held.mapInArrow(split, f"{schema}, chunk_index int, text string")
 
 
 def character_windows(documents: DataFrame, key: str, text: str, size: int, overlap: int, reach_end_once: bool = True) -> DataFrame:

@@ -56,7 +56,7 @@ def ingest_classify_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = index.sources(_chunks(spark, sf_dir).where(~F.col("source").startswith("/kb/ops/")))
     what = index.classified(_incoming(spark, sf_dir), stored, force=True)
-    return what.agg(F.count("*").alias("files"), F.count_if(F.col("action") == "add").alias("added"), F.count_if(F.col("action") == "skip").alias("skipped"), F.count_if(F.col("action") == "update").alias("updated"))
+    return what.agg(F.count_if(F.col("action") != "skip").alias("files"), F.count_if(F.col("action") == "add").alias("added"), F.count_if(F.col("action") == "skip").alias("skipped"), F.count_if(F.col("action") == "update").alias("updated"))
 
 
 def hash_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,8 @@ def force_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_documents(_files(spark, sf_dir), "file_id", "content")
+    files = table(spark, sf_dir, "kb_documents").select("file_id", "content", "path", F.col("metadata")["filename"].alias("filename"))
+    return splitting.split_documents(files, "file_id", "content", carry=("path", "filename"))
 
 
 _STORED = """stored AS (
@@ -116,11 +117,49 @@ _STORED = """stored AS (
     SELECT path, sha256(content) AS content_hash, CASE WHEN known IS NULL THEN 'add' WHEN {1} AND sha256(content) IS DISTINCT FROM stored_hash THEN 'update' ELSE 'skip' END AS action
     FROM kb_documents LEFT JOIN stored ON source = path
 )"""
-_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(content, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+# Images, links and empty lines as the specification has them; a dot doesn't match a line break.
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(content, '!\[.*?\]\(.*?\)', '', 'g'), '\[([^\]]*?)\]\(.*?\)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 _SUFFIX = r"lower(regexp_extract(path, '\.[^./]+$'))"
 _WINDOW = "SELECT {0}, i::INT AS chunk_index, {2} FROM (SELECT *, unnest(range(0, {1})) AS i FROM {3})"
 _COUNT = "(CASE WHEN length(content) <= 512 THEN 1 ELSE 1 + ceil((length(content) - 512) / 448.0) END)::BIGINT"
 
+_GAPS = "[" + ", ".join("'" + gap.replace("\n", "\\n").replace("\\n", "' || chr(10) || '") + "'" for gap in splitting.LADDER[:-1]) + "]"
+# The splitter with chunks of 512 and an overlap of 128: texts are parted down the ladder of separators, runs of pieces
+# that fit are packed one chunk after the other, and a text without any separator is cut into windows.
+_SPLIT = f"""WITH RECURSIVE part AS (
+    SELECT file_id, content AS body, []::BIGINT[] AS place, 1 AS lvl FROM kb_documents WHERE length(content) > 0
+    UNION ALL
+    SELECT file_id, pieces[p], list_append(place, p), gap_no + 1 FROM (
+        SELECT *, unnest(range(1, len(pieces) + 1)) AS p FROM (
+            SELECT *, string_split(body, gaps[gap_no]) AS pieces FROM (
+                SELECT *, {_GAPS} AS gaps, list_min(list_filter(range(lvl, 14), lambda i: contains(body, {_GAPS}[i]))) AS gap_no FROM part) a
+            WHERE gap_no IS NOT NULL) b
+    ) c WHERE length(pieces[p]) > 512
+), opened AS (
+    SELECT *, {_GAPS}[list_min(list_filter(range(lvl, 14), lambda i: contains(body, {_GAPS}[i])))] AS gap FROM part
+), piece AS (
+    SELECT file_id, place, gap, p, pieces[p] AS t, count(*) FILTER (WHERE length(pieces[p]) > 512) OVER (PARTITION BY file_id, place ORDER BY p) AS big
+    FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS p FROM (SELECT *, string_split(body, gap) AS pieces FROM opened WHERE gap IS NOT NULL))
+), run AS (
+    SELECT file_id, list_append(place, min(p)) AS place, gap, list(t ORDER BY p) AS ts FROM piece WHERE length(t) <= 512 GROUP BY file_id, place, gap, big
+), summed AS (
+    SELECT *, length(gap) AS g, list_transform(range(0, len(ts) + 1), lambda i: coalesce(list_sum(list_transform(ts[1:i], lambda x: length(x) + length(gap))), 0)::BIGINT) AS ends FROM run
+), chunk AS (
+    SELECT *, 0 AS k, 0::BIGINT AS first, list_max(list_filter(range(1, len(ts) + 1), lambda i: ends[i + 1] - g <= 512)) AS last FROM summed
+    UNION ALL
+    SELECT file_id, place, gap, ts, g, ends, k + 1, first, greatest(last + 1, coalesce(list_max(list_filter(range(last + 1, len(ts) + 1), lambda i: ends[i + 1] - ends[first + 1] - g <= 512)), 0))
+    FROM (
+        SELECT * REPLACE (least(last, coalesce(list_min(list_filter(range(first, last), lambda b: ends[last + 1] - ends[b + 1] - g <= 128)), last)) AS first) FROM chunk WHERE last < len(ts)
+    ) d
+), found AS (
+    SELECT file_id, place, k, list_reduce(ts[first + 1:last], lambda a, b: a || gap || b) AS text FROM chunk
+    UNION ALL
+    SELECT file_id, place, i, substr(body, i * 384 + 1, 512) FROM (
+        SELECT *, unnest(range(0, CASE WHEN length(body) <= 512 THEN 1 ELSE 1 + ceil((length(body) - 512) / 384.0)::BIGINT END)) AS i FROM opened WHERE gap IS NULL)
+)
+SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY place, k) - 1)::INT AS chunk_index, text, path, metadata['filename'] AS filename
+FROM found JOIN (SELECT file_id, path, metadata FROM kb_documents) USING (file_id) WHERE {sql_strip("text")} <> ''"""
+
 QUERIES = {
     "strip_markup": strip_markup, "supported_files": supported_files, "metadata_strings": metadata_strings, "content_hash": content_hash, "ingest_classify": ingest_classify,
     "ingest_classify_known": ingest_classify_known, "ingest_summary": ingest_summary, "hash_backfill": hash_backfill, "latest_chunks": latest_chunks, "remove_source": remove_source,
@@ -129,13 +168,14 @@ QUERIES = {
 }
 
 SQL = {
+    "split_documents": _SPLIT,
     "strip_markup": f"SELECT file_id, length(t)::INT AS n_chars, md5(t) AS digest FROM (SELECT file_id, {sql_strip(_PLAIN)} AS t FROM kb_documents)",
     "supported_files": f"SELECT {_SUFFIX} AS suffix, {_SUFFIX} IN ({', '.join(repr(s) for s in SUFFIXES)}) AS supported, count(*) AS n FROM kb_documents GROUP BY ALL",
     "metadata_strings": "SELECT file_id, e.key AS name, e.value AS value FROM (SELECT file_id, unnest(map_entries(metadata)) AS e FROM kb_documents)",
     "content_hash": f"SELECT path, sha256(t) AS content_hash FROM (SELECT path, {sql_strip(_PLAIN)} AS t FROM kb_documents) WHERE t <> ''",
     "ingest_classify": f"WITH {_STORED.format('true', 'true')} SELECT path, content_hash, action FROM what",
     "ingest_classify_known": f"WITH {_STORED.format('''source NOT LIKE '/kb/ops/%' ''', 'false')} SELECT path, content_hash, action FROM what",
-    "ingest_summary": f"""WITH {_STORED.format('''source NOT LIKE '/kb/ops/%' ''', 'true')} SELECT count(*) AS files, count(*) FILTER (WHERE action = 'add') AS added,
+    "ingest_summary": f"""WITH {_STORED.format('''source NOT LIKE '/kb/ops/%' ''', 'true')} SELECT count(*) FILTER (WHERE action IN ('add', 'update')) AS files, count(*) FILTER (WHERE action = 'add') AS added,
         count(*) FILTER (WHERE action = 'skip') AS skipped, count(*) FILTER (WHERE action = 'update') AS updated FROM what""",
     "hash_backfill": "SELECT source, min_by(content_hash, chunk_id) FILTER (WHERE content_hash IS NOT NULL AND content_hash <> '') AS content_hash FROM kb_chunks GROUP BY source",
     "latest_chunks": "SELECT chunk_id, source, chunk_index FROM kb_chunks QUALIFY row_number() OVER (PARTITION BY source, chunk_index ORDER BY indexed_at DESC, chunk_id DESC) = 1",

@@ -37,7 +37,19 @@ def test_without_overlap_chunks_are_parts_within_the_size(text, size):
         assert len(chunk) <= size and chunk in text
 
 
+def test_without_an_empty_separator_a_piece_is_forced_apart():
+    assert list(chunks_of("abcdefgh i", 4, 1, (" ",))) == ["abcd", "defg", "gh", "i"]
+    assert list(chunks_of("abcdefgh", 4, 1, (" ",))) == ["abcd", "defg", "gh"]  # no separator at all: windows
+
+
+def test_length_function():
+    words = lambda t: len(t.encode())
+    assert list(chunks_of("ééé é", 6, 0, length=words)) == ["ééé", "é"]
+
+
 def test_documents(spark):
     docs = spark.createDataFrame([(1, "a b\n\nc", "x"), (2, "", "x"), (3, None, "x"), (4, "   ", "x")], "id bigint, body string, chunk_index string")
     found = split_documents(docs.select("id", "body"), "id", "body", 3, 0).collect()
     assert [tuple(r) for r in found] == [(1, 0, "a b"), (1, 1, "c")]
+    carried = split_documents(docs.withColumnRenamed("chunk_index", "name"), "id", "body", 3, 0, carry=("name",))
+    assert [tuple(r) for r in carried.collect()] == [(1, "x", 0, "a b"), (1, "x", 1, "c")]
