@@ -27,7 +27,7 @@ def squeezed(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Search terms in order: adjacent pairs of each Han run, other letter and digit runs in lower case.
+    """Search terms in order: adjacent pairs of each Han run, other letter and digit runs in lower case, each run by itself.
 
     A Han run of one character gives no term; null gives null.
     """
@@ -39,14 +39,19 @@ def terms(text: Column) -> Column:
         none = F.array().cast("array<string>")
         return F.when(~first.between(0x3400, 0x9FFF), F.array(F.lower(run))).when(F.length(run) < 2, none).otherwise(pairs)
 
+    # Lower case changes where a run ends, or depends on its neighbours, with a dotted capital I and a sigma only.
     plain = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.when(text.rlike(HAN), F.flatten(F.transform(runs, of_run))).otherwise(plain)
+    return F.when(text.rlike(rf"{HAN}|[\x{{130}}\x{{3A3}}]"), F.flatten(F.transform(runs, of_run))).otherwise(plain)
 
 
 def plain_markdown(text: Column) -> Column:
-    """Without images, links as their text, no more than one empty line in a row, and stripped."""
-    bare = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", "")
-    linked = F.regexp_replace(bare, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    """Without images, links as their text, no more than one empty line in a row, and stripped.
+
+    An image stands on one line, and may have brackets in its description; a link's address stands on one line.
+    """
+    # What counts as an image and as a link.
+    bare = F.regexp_replace(text, r"!\[[^\n]*?\]\([^\n]*?\)", "")
+    linked = F.regexp_replace(bare, r"\[([^\]]*)\]\([^\n]*?\)", "$1")
     return strip(F.regexp_replace(linked, r"\n{3,}", "\n\n"))
 
 
@@ -73,4 +78,5 @@ def session_slug(stem: Column) -> Column:
 
 
 def piece_of_context(source: Column, text: Column) -> Column:
+    # Fixed value: the label before a source.
     return F.concat(F.lit("[来源: "), source, F.lit("]\n"), text)
