@@ -11,10 +11,15 @@ from quarrymill.errors import IndexStoreError, IngestionError
 from quarrymill.functions.text import plain_markdown
 
 
+def stripped(files: DataFrame, path: str, content: str) -> DataFrame:
+    """path, text without markup and content_hash of each file, blank ones too."""
+    plain = files.select(F.col(path).alias("path"), F.coalesce(plain_markdown(F.col(content)), F.lit("")).alias("text"))
+    return plain.withColumn("content_hash", F.sha2("text", 256))
+
+
 def prepared(files: DataFrame, path: str, content: str) -> DataFrame:
     """path, text and content_hash of each file whose text isn't blank once markup is stripped."""
-    stripped = files.select(F.col(path).alias("path"), plain_markdown(F.col(content)).alias("text"))
-    return stripped.where(F.length("text") > 0).withColumn("content_hash", F.sha2("text", 256))
+    return stripped(files, path, content).where(F.length("text") > 0)
 
 
 def sources(chunks: DataFrame) -> DataFrame:
@@ -69,12 +74,17 @@ class Snapshots:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
     def commit(self, chunks: DataFrame) -> str:
+        """A pointer is written under another name and then renamed, so that none is ever seen half-written."""
         name = f"snapshot-{uuid.uuid4().hex}"
         chunks.write.parquet(f"{self.folder}/{name}")
-        numbers = [int(s.getPath().getName()[7:]) for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("commit-")]
-        out = self._fs.create(self._path(f"commit-{max(numbers, default=0) + 1:012d}"), False)
+        half = self._path(f"half-{name}")
+        out = self._fs.create(half, False)
         out.writeBytes(name)
         out.close()
+        numbers = [int(s.getPath().getName()[7:]) for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("commit-")]
+        pointer = self._path(f"commit-{max(numbers, default=0) + 1:012d}")
+        if self._fs.exists(pointer) or not self._fs.rename(half, pointer):
+            raise IndexStoreError(f"another commit came first in {self.folder}")
         return name
 
     def load(self) -> DataFrame:

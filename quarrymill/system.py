@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.config import Settings
 from quarrymill.errors import IndexStoreError, RetrievalError
-from quarrymill.hooks import Embedder, HashingEmbedder
+from quarrymill.hooks import Embedder, HashingEmbedder, retried
 from quarrymill.operators import index, retrieve, splitting
 from quarrymill.session import written
 
@@ -39,22 +39,25 @@ class RetrievalSystem:
     def ingest(self, files: DataFrame, force: bool = False) -> dict[str, int]:
         """Adds new files, replaces changed ones under `force`, leaves the others; files that vanished stay.
 
-        A changed file that gives no chunks any more loses its old ones.
+        A changed file that is blank or gives no chunks any more loses its old ones; a new blank one is passed over.
+        `files` counts those that were added or updated.
         """
         stored = self.chunks()
-        ready = index.prepared(files, "path", "text")
+        ready = index.stripped(files, "path", "text")
         hashes = stored.groupBy("source").agg(F.min("content_hash").alias("content_hash"))
-        what = written(index.classified(ready, hashes, force), "ingest")
+        blank = ready.where(F.length("text") == 0).select("path")
+        what = index.classified(ready, hashes, force)
+        what = written(what.join(blank, "path", "left_anti").unionByName(what.join(blank, "path", "left_semi").where("action <> 'add'")), "ingest")
         taken = ready.join(what.where("action <> 'skip'").select("path"), "path", "left_semi")
         settings = self.settings.chunking
-        pieces = splitting.split_documents(taken, "path", "text", settings.size, settings.overlap).join(taken.select("path", "content_hash"), "path")
+        pieces = splitting.split_documents(taken, "path", "text", settings.size, settings.overlap, settings.separators, carry=("content_hash",))
         keyed = written(pieces.withColumn("key", F.concat_ws("\u0001", "path", "chunk_index")), "pieces")
         new = keyed.join(self.embedder(keyed, "key", "text"), "key").select(F.col("path").alias("source"), "chunk_index", "text", "content_hash", "vec")
         counts = {r["action"]: r["count"] for r in what.groupBy("action").count().collect()}
         if counts.get("add", 0) + counts.get("update", 0):
             gone = what.where("action = 'update'").select(F.col("path").alias("source"))
             self.store.commit(index.without(stored, gone).select(*new.columns).unionByName(new))
-        return {"files": sum(counts.values()), "chunks": keyed.count(), "skipped": counts.get("skip", 0), "updated": counts.get("update", 0)}
+        return {"files": counts.get("add", 0) + counts.get("update", 0), "chunks": keyed.count(), "skipped": counts.get("skip", 0), "updated": counts.get("update", 0)}
 
     def remove(self, source: str) -> int:
         """How many chunks went; a new snapshot is made only if any did."""
@@ -76,7 +79,7 @@ class RetrievalSystem:
         if stored.isEmpty():
             raise RetrievalError("the index is empty")
         numbered = stored.withColumn("result_id", F.xxhash64("source", "chunk_index"))
-        vectors = self.embedder(questions, "qid", "query").select(F.col("qid").alias("id"), "vec")
+        vectors = self.embedder(questions, "qid", "query", query=True).select(F.col("qid").alias("id"), "vec")
         wide = use.top_k * (use.multiplier if use.hybrid or use.rerank else 1)
         near = retrieve.cosine_top_k(vectors, numbered.select(F.col("result_id").alias("id"), "vec"), wide)
         near = near.select(F.col("id").alias("qid"), F.col("other").alias("chunk"), "score", F.col("rank_no").alias("vector_rank"))
@@ -85,7 +88,7 @@ class RetrievalSystem:
         rank = "vector_rank"
         if use.hybrid:
             alpha = retrieve.length_alpha(F.col("query"), use.short_query, use.short_alpha, use.long_alpha) if use.adaptive else F.lit(use.alpha)
-            found = retrieve.fused(found, "qid", "query", alpha).withColumn("score", F.col("fused"))
+            found = retrieve.fused(found, "qid", "query", alpha, keep_text=True).withColumn("score", F.col("fused"))
             rank = "fused_rank"
         final = retrieve.reranked(found, "qid", rank, use.top_k, self.scorer if use.rerank else None)
         score = F.col("rescore") if use.rerank and self.scorer else F.col("score")
@@ -101,12 +104,13 @@ class RetrievalSystem:
         """qid, answer and sources: what `generate` makes of each context and question, with the sources named after it.
 
         `history` names a column of `questions` with the messages before, put in front of the context. A question
-        without any hit gets NO_HITS. The call runs in the tasks; wrap it in hooks.retried() for one that may fail.
+        without any hit gets NO_HITS. The call runs in the tasks; one that fails for a passing reason is made again.
         """
 
         def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            call = retried(generate)
             for frame in frames:
-                said = [NO_HITS if c is None else generate(c if h is None else f"{h}\n\n{c}", q) for c, q, h in zip(frame["context"], frame["query"], frame["history"])]
+                said = [NO_HITS if c is None else call(c if h is None else f"{h}\n\n{c}", q) for c, q, h in zip(frame["context"], frame["query"], frame["history"])]
                 yield pd.DataFrame({"qid": frame["qid"], "said": said, "sources": frame["sources"]})
 
         before = questions.select(F.col("qid").alias("__qid"), (F.col(history) if history else F.lit(None).cast("string")).alias("history"))
