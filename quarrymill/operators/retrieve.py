@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,16 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.errors import RetrievalError
 from quarrymill.functions.text import piece_of_context, terms, token_estimate
 from quarrymill.functions.vectors import dot, norm
 from quarrymill.operators import bm25
 
 
+WORST = 3_000_000
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, at_once: int = 20_000) -> DataFrame:
     """id, other, score (6 decimals) and rank_no of the k vectors most like each query (id, vec) among `vectors` (id, vec).
 
     A query is not compared with the vector of its own id. Tasks hold a slice of `at_once` queries; more queries take
-    more passes over the vectors. Each Arrow batch keeps its k best, so that only these are shuffled.
+    more passes over the vectors. Each task keeps the k best of all it reads, so that only these are shuffled.
     """
     rows = queries.select("id", "vec").where(F.size("vec") > 0).orderBy("id").toLocalIterator()
     found, part = None, []
@@ -43,25 +48,30 @@ def _slice(queries: list, vectors: DataFrame, k: int) -> DataFrame:
     asked = np.divide(asked, length, out=np.zeros_like(asked), where=length > 0)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full((len(ids), k), WORST, np.int64)  # a million minus a million times the score
+        who = np.zeros((len(ids), k), np.int64)
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
             other = batch.column(0).to_numpy()
-            own = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+            order = np.argsort(other, kind="stable")
+            other, own = other[order], np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)[order]
             size = np.linalg.norm(own, axis=1, keepdims=True)
             own = np.divide(own, size, out=np.zeros_like(own), where=size > 0)
-            out = [[], [], []]
+            few = min(k, len(other))
             for low in range(0, len(ids), 256):
-                score = np.round(asked[low : low + 256] @ own.T, 6)
-                for i, line in enumerate(score):
-                    line = np.where(other == ids[low + i], -9.0, line)
-                    some = np.flatnonzero(line >= np.partition(line, -min(k, len(line)))[-min(k, len(line))])
-                    some = some[np.lexsort((other[some], -line[some]))][:k]
-                    some = some[line[some] > -9]
-                    out[0].append(np.full(len(some), ids[low + i]))
-                    out[1].append(other[some])
-                    out[2].append(line[some])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["id", "other", "score"])
+                part = slice(low, low + 256)
+                gap = 1_000_000 - np.rint(asked[part] @ own.T * 1e6).astype(np.int64)
+                gap[other == ids[part, None]] = WORST
+                key = gap * len(other) + np.arange(len(other))  # of equal scores the smaller id
+                key = np.partition(key, few - 1, axis=1)[:, :few]
+                pool, names = np.concatenate((top[part], key // len(other)), axis=1), np.concatenate((who[part], other[key % len(other)]), axis=1)
+                order = np.argsort(names, axis=1, kind="stable")
+                pool, names = np.take_along_axis(pool, order, 1), np.take_along_axis(names, order, 1)
+                order = np.argsort(pool, axis=1, kind="stable")[:, :k]
+                top[part], who[part] = np.take_along_axis(pool, order, 1), np.take_along_axis(names, order, 1)
+        row, place = np.nonzero(top < WORST)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[row, place]), pa.array((1_000_000 - top[row, place]) / 1e6)], names=["id", "other", "score"])
 
     return vectors.select("id", "vec").where(F.size("vec") > 0).mapInArrow(best, "id bigint, other bigint, score double")
 
@@ -96,15 +106,22 @@ def length_alpha(query: Column, limit: int = 12, short: float = 0.4, long: float
     return F.when(F.length(query) <= limit, short).otherwise(long)
 
 
-def fused(candidates: DataFrame, group: str, query: str, alpha: Column) -> DataFrame:
-    """The candidates (with vector_rank) and bm25, fused and fused_rank; a group without any BM25 signal keeps its scores."""
-    scored = candidates.join(bm25.candidate_scores(candidates, group, query, "result_id", "text"), "result_id")
-    most = scored.groupBy(group).agg(F.max("bm25").alias("most"))
-    mixed = F.when(F.col("most") <= 0, F.col("score")).otherwise(alpha * F.col("bm25") / F.col("most") + (1 - alpha) * F.col("score"))
-    joined = scored.join(most, group).withColumn("fused", F.round(mixed, 9)).drop("most")
+def fused(candidates: DataFrame, group: str, query: str, alpha: Column, keep_text: bool = False) -> DataFrame:
+    """The candidates (with vector_rank) and bm25, fused and fused_rank; a group without any BM25 signal keeps its scores.
+
+    The texts are left behind before the shuffle unless `keep_text`.
+    """
+    scored = bm25.candidate_scores(candidates, group, query, "result_id", "text", keep_text)
+    joined = scored.withColumn("fused", mixed_score(alpha, group))
     return joined.withColumn("fused_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("fused"), "vector_rank")))
 
 
+def mixed_score(alpha: Column, group: str) -> Column:
+    """alpha of a row's bm25, as a part of its group's highest, and the rest of its score."""
+    most = F.max("bm25").over(Window.partitionBy(group))
+    return F.round(F.when(most <= 0, F.col("score")).otherwise(alpha * F.col("bm25") / most + (1 - alpha) * F.col("score")), 9)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared terms of all terms of two texts: the default re-scorer."""
     x, y = F.array_distinct(terms(a)), F.array_distinct(terms(b))
@@ -113,11 +130,22 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def reranked(candidates: DataFrame, group: str, rank: str, top_k: int, scorer: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """The first top_k by the scorer's column `rescore`, of equal ones in the order before; without a scorer that order is kept."""
-    if scorer is None:
+    """The first top_k by the scorer's column `rescore`, of equal ones in the order before.
+
+    That order is kept without a scorer, where the scorer raises a RetrievalError, and in each group where it gave a row
+    no number (as hooks.ModelScorer does for what its model can't score).
+    """
+    try:
+        scored = scorer(candidates) if scorer else None
+    except RetrievalError as e:
+        logging.getLogger(__name__).warning("the order before is kept: %s", e)
+        scored = None
+    if scored is None:
         return candidates.where(F.col(rank) <= top_k).withColumn("final_rank", F.col(rank))
-    order = Window.partitionBy(group).orderBy(F.desc("rescore"), rank)
-    return scorer(candidates).withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= top_k)
+    whole = F.min(F.col("rescore").isNotNull()).over(Window.partitionBy(group))
+    order = Window.partitionBy(group).orderBy(F.desc("__rescore"), rank)
+    ranked = scored.withColumn("__rescore", F.when(whole, F.col("rescore"))).withColumn("final_rank", F.row_number().over(order))
+    return ranked.where(F.col("final_rank") <= top_k).drop("__rescore")
 
 
 def within_budget(results: DataFrame, group: str, rank: str, budget: int) -> DataFrame:

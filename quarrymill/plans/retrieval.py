@@ -9,7 +9,7 @@ from quarrymill.config import Retrieval
 from quarrymill.functions.text import terms, token_estimate
 from quarrymill.functions.vectors import norm
 from quarrymill.operators import bm25, retrieve
-from quarrymill.plans.shared import BM25, CANDIDATES, TOP_K, candidates, results, RESULTS, sql_fused, sql_terms
+from quarrymill.plans.shared import BM25, CANDIDATES, RESCORED, TOP_K, candidates, results, RESULTS, sql_fused, sql_terms
 from quarrymill.session import spread, table
 
 CONTEXT_TOKENS = Retrieval().context_tokens
@@ -61,8 +61,9 @@ def adaptive_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieve.fused(candidates(spark, sf_dir), "asked", "asked", F.lit(0.5))
-    found = retrieve.reranked(fused, "asked", "fused_rank", TOP_K, lambda c: c.withColumn("rescore", F.round(retrieve.jaccard(F.col("asked"), F.col("text")), 9)))
+    """The terms that a text shares with its query are counted where the text is, and only the score moves on."""
+    scored = candidates(spark, sf_dir).withColumn("rescore", F.round(retrieve.jaccard(F.col("asked"), F.col("text")), 9))
+    found = retrieve.reranked(retrieve.fused(scored, "asked", "asked", F.lit(0.5)), "asked", "fused_rank", TOP_K, lambda c: c)
     return found.select("result_id", "final_rank", F.round("rescore", 6).alias("rescore"))
 
 
@@ -182,11 +183,7 @@ SQL = {
     "overfetch": f"WITH {CANDIDATES} SELECT result_id, vector_rank::INT AS vector_rank FROM cand",
     "hybrid_fuse": _fused_sql("0.5::DOUBLE", _FUSED),
     "adaptive_alpha": _fused_sql("CASE WHEN length(asked) <= 12 THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END", _FUSED),
-    "rerank_topk": f"""WITH {CANDIDATES}, {BM25}, {sql_fused('0.5::DOUBLE')}, pairs AS (
-        SELECT *, list_distinct({sql_terms('asked')}) AS x, list_distinct({sql_terms('text')}) AS y FROM fused
-    ), rescored AS (
-        SELECT *, CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 9) ELSE 0 END AS rescore FROM pairs
-    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY rescore DESC, fused_rank)::INT AS final_rank FROM rescored)
+    "rerank_topk": f"""WITH {CANDIDATES}, {BM25}, {sql_fused('0.5::DOUBLE')}, {RESCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY rescore DESC, fused_rank)::INT AS final_rank FROM rescored)
     SELECT result_id, final_rank, round(rescore, 6) AS rescore FROM ranked WHERE final_rank <= {TOP_K}""",
     "rerank_fallback": _fused_sql("0.5::DOUBLE", "SELECT result_id, fused_rank::INT AS final_rank"),
     "vector_topk": f"WITH {_COSINE} SELECT id, other, score, rank_no FROM ranked WHERE rank_no <= 5",

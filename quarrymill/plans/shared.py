@@ -40,12 +40,13 @@ RESULTS = rf"""results AS (
 
 
 def candidates(spark: SparkSession, sf_dir: str, multiplier: int = MULTIPLIER) -> DataFrame:
-    """The results with their chunk's text, the first TOP_K * multiplier of each query; texts join when the ranks are known."""
+    """The results with their chunk's text, the first TOP_K * multiplier of each query; texts join by the chunk's id when the ranks are known."""
     from quarrymill.operators.retrieve import recalled
 
-    chunks = latest(table(spark, sf_dir, "kb_chunks").select("chunk_id", "source", "chunk_index", "text", "indexed_at")).select("source", "chunk_index", "text")
-    there = results(spark, sf_dir).join(chunks.select("source", "chunk_index"), ["source", "chunk_index"])
-    return recalled(there, "asked", TOP_K, multiplier).join(chunks, ["source", "chunk_index"])
+    chunks = table(spark, sf_dir, "kb_chunks")
+    newest = latest(chunks.select("chunk_id", "source", "chunk_index", "indexed_at")).select("source", "chunk_index", "chunk_id")
+    there = results(spark, sf_dir).join(newest, ["source", "chunk_index"])
+    return recalled(there, "asked", TOP_K, multiplier).join(chunks.select("chunk_id", "text"), "chunk_id").drop("chunk_id")
 
 
 CANDIDATES = rf"""{RESULTS}, newest AS (
@@ -77,6 +78,13 @@ BM25 = rf"""words AS (
 )"""
 
 
+RESCORED = f"""pairs AS (
+    SELECT *, list_distinct({sql_terms('asked')}) AS x, list_distinct({sql_terms('text')}) AS y FROM fused
+), rescored AS (
+    SELECT *, CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 9) ELSE 0 END AS rescore FROM pairs
+)"""
+
+
 def sql_fused(alpha: str) -> str:
     return rf"""fused AS (
     SELECT *, row_number() OVER (PARTITION BY asked ORDER BY fused DESC, vector_rank) AS fused_rank FROM (
