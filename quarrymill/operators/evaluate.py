@@ -15,6 +15,13 @@ def ranks(questions: DataFrame, results: DataFrame, qid: str, relevant: str, ran
     return met.groupBy(qid).agg(F.coalesce(F.min("__rank") - 1, F.lit(-1)).cast("int").alias("rank"))
 
 
+def rankings(questions: DataFrame, results: DataFrame, keys: list[str], asked: str, relevant: str, rank_of: dict[str, str], source: str, top_k: int) -> DataFrame:
+    """`keys` of each question and the rank (as in ranks()) of its source in each of several rankings of the same results."""
+    hits = results.select(asked, F.col(source).alias(relevant), *[F.when(F.col(r) <= top_k, F.col(r)).alias(f"__{name}") for name, r in rank_of.items()])
+    best = [F.coalesce(F.min(f"__{name}") - 1, F.lit(-1)).cast("int").alias(name) for name in rank_of]
+    return questions.join(hits, [asked, relevant], "left").groupBy(*keys).agg(*best)
+
+
 def reciprocal(rank: Column) -> Column:
     return F.when(rank >= 0, 1.0 / (rank + 1)).otherwise(0.0)
 
@@ -65,17 +72,39 @@ def normal_interval(ranked: DataFrame) -> DataFrame:
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998980)
 
 
+def spread(ranked: DataFrame) -> DataFrame:
+    """Mean, standard deviation, variance, median and maximum of the reciprocal ranks, and how many aren't 0."""
+    r = ranked.select(reciprocal(F.col("rank")).alias("rr"))
+    numbers = {"mean": F.avg("rr"), "sd": F.stddev_samp("rr"), "variance": F.var_samp("rr"), "median": F.percentile("rr", 0.5), "most": F.max("rr")}
+    return r.agg(F.count("*").alias("n"), *[F.round(c, 6).alias(name) for name, c in numbers.items()], F.count_if(F.col("rr") > 0).alias("non_zero"))
+
+
 def bootstrap(rows: DataFrame, key: str, value: str, resamples: int) -> DataFrame:
     """95 % interval of the mean of `value`, by Poisson bootstrap: each row draws its own number in each resample from a hash.
 
     No row needs a position or another row's draw, so that partial sums are all that is shuffled. A resample that draws no
     row has no mean.
     """
+    means = _drawn(rows.select(F.col(key).alias("k"), F.col(value).alias("v")), resamples).groupBy("resample").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
+    return means.agg(F.count("*").alias("resamples"), F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))
+
+
+def _drawn(rows: DataFrame, resamples: int) -> DataFrame:
+    """Each row (k and other columns) once for every resample, with the number of its draws there (w)."""
     spark = rows.sparkSession
     cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).repartition(cores)  # a row stands for `resamples` rows of work
-    each = dealt.select("k", "v", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    dealt = rows.repartition(cores)  # a row stands for `resamples` rows of work
+    each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     u = F.substring(F.md5(F.concat_ws("-", "resample", "k")), 1, 8)
     drawn = sum(((u >= f"{math.ceil(p * (1 << 32)):08x}").cast("int") for p in POISSON), F.lit(0))  # hexadecimal numbers of one length sort as text
-    means = each.withColumn("w", drawn).groupBy("resample").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("mean"))
-    return means.agg(F.count("*").alias("resamples"), F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))
+    return each.withColumn("w", drawn)
+
+
+def stratified(rows: DataFrame, key: str, kind: str, values: list[str], resamples: int) -> DataFrame:
+    """95 % intervals as in bootstrap() of the means of all `values`, from the same draws, for each kind and for all rows (kind null)."""
+    drawn = _drawn(rows.select(F.col(key).alias("k"), F.col(kind).alias("kind"), *values), resamples)
+    sums = drawn.groupBy("kind", "resample").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+    whole = sums.groupBy("resample").agg(F.sum("w").alias("w"), *[F.sum(v).alias(v) for v in values]).withColumn("kind", F.lit(None).cast("string"))
+    means = sums.unionByName(whole).select("kind", *[F.try_divide(v, "w").alias(v) for v in values])
+    bound = lambda v, p, name: F.round(F.percentile(v, p), 6).alias(f"{v}_{name}")
+    return means.groupBy("kind").agg(*[bound(v, p, name) for v in values for p, name in ((0.025, "low"), (0.975, "high"))])
