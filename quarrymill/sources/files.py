@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +29,33 @@ def decoded(content: Column) -> Column:
 
 def _older(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        frame["text"] = [bytes(b).decode("gbk", "replace") if t is None else t for b, t in zip(frame["content"], frame["text"])]
-        yield frame[["path", "text"]]
+        yield pd.DataFrame({"path": frame["path"], "text": [bytes(b).decode("gbk", "replace") for b in frame["content"]]})
+
+
+def texts_of(files: DataFrame) -> DataFrame:
+    """path and text of files (path, content): UTF-8 as an expression, and only what isn't UTF-8 as GBK in Python."""
+    known = files.where("content is not null").select("path", "content", decoded(F.col("content")).alias("text"))
+    older = known.where("text is null").select("path", "content").mapInPandas(_older, "path string, text string")
+    return known.where("text is not null").select("path", "text").unionByName(older)
+
+
+def each_file(convert: Callable[[str, bytes], str], seconds: float = 30.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A `rich` hook for read_folder() from a function of one file; a file on which it fails, or takes longer, is logged and passed over."""
+
+    def rich(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                pool = ThreadPoolExecutor(1)
+                try:
+                    rows.append((path, pool.submit(convert, path, bytes(content)).result(seconds)))
+                except Exception as e:
+                    logging.getLogger(__name__).warning("%s is passed over: %r", path, e)
+                finally:
+                    pool.shutdown(wait=False, cancel_futures=True)
+            yield pd.DataFrame(rows, columns=["path", "text"], dtype="object")
+
+    return rich
 
 
 def html_text(html: Column) -> Column:
@@ -45,12 +72,13 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*", rich: Call
     """path, text and metadata (filename) of every readable file below a folder.
 
     Text files that aren't UTF-8 are read as GBK. Other types go through `rich` (path, content to path, text), a
-    mapInPandas function; without it HTML is read by html_text() and the rest is left out. Blank files and files of
-    other types give no rows.
+    mapInPandas function such as each_file() makes; without it HTML is read by html_text() and the rest is left out.
+    Blank files, files of other types and files that can't be read give no rows. Rows have no order of their own; sort
+    them by path where one is wanted.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    files = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     known = files.withColumn("suffix", suffix(F.col("path"))).where(F.col("suffix").isin(*SUFFIXES)).select("path", "suffix", "content")
-    plain = known.where(F.col("suffix").isin(*TEXT_SUFFIXES)).select("path", "content", decoded(F.col("content")).alias("text")).mapInPandas(_older, "path string, text string")
+    plain = texts_of(known.where(F.col("suffix").isin(*TEXT_SUFFIXES)))
     if rich is None:
         other = known.where(F.col("suffix").isin(".html", ".htm")).select("path", html_text(F.col("content").cast("string")).alias("text"))
     else:
@@ -67,6 +95,18 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     return read_folder(spark, path)
 
 
+def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each question of evaluation results kept as JSON with a list `per_query`, with the file's name."""
+    whole = spark.read.option("multiLine", "true").json(path)
+    return whole.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.explode("per_query").alias("q")).select("file", "q.*")
+
+
+def topic_number(path: Column) -> Column:
+    """The first number in a file's name, without its type; null without one."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+$", "")
+    return F.try_to_number(F.nullif(F.regexp_extract(stem, r"(\d+)", 1), F.lit("")), F.lit("999999999999999999")).cast("bigint")
+
+
 def write_json(report: DataFrame, folder: str) -> None:
     report.write.mode("errorifexists").json(folder)
 

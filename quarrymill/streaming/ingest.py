@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarrymill.session import shared_folder
-from quarrymill.sources.files import TEXT_SUFFIXES, decoded, suffix
+from quarrymill.sources.files import TEXT_SUFFIXES, suffix, texts_of
 from quarrymill.system import RetrievalSystem
 
 
 def ingest_stream(spark: SparkSession, folder: str, system: RetrievalSystem, checkpoint: str) -> StreamingQuery:
-    """Takes in the text files that arrive in a folder; a batch that is repeated after a failure finds its files known and skips them."""
+    """Takes in the text files that arrive in a folder, UTF-8 or else GBK; a batch that is repeated after a failure finds its files known and skips them."""
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
-    texts = files.where(suffix(F.col("path")).isin(*TEXT_SUFFIXES)).select("path", decoded(F.col("content")).alias("text")).where("text is not null")
-    return texts.writeStream.foreachBatch(lambda batch, _: system.ingest(batch, force=True)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    known = files.where(suffix(F.col("path")).isin(*TEXT_SUFFIXES)).select("path", "content")
+    return known.writeStream.foreachBatch(lambda batch, _: system.ingest(texts_of(batch), force=True)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def window_counts(events: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
