@@ -14,6 +14,8 @@ from quarrymill.operators import memory, retrieve
 
 SESSIONS = "stem string, date string, time string, slug string, text string"
 PROMPTS = "stem string, version bigint, pos int, prompt string"
+RAW = "stem string, pos int, prompt string"
+VECTORS = "id bigint, prompt string, version bigint, vec array<double>"
 MOST_PROMPTS, TAIL = 15, 8000
 
 
@@ -32,6 +34,19 @@ class ConversationMemory:
         """The newest first, by name."""
         return self._rows("sessions", SESSIONS).withColumn("n_chars", F.length("text")).orderBy(F.desc("stem"))
 
+    def session(self, stem: str) -> str | None:
+        """The text of one session by its name, or None."""
+        row = self._rows("sessions", SESSIONS).where(F.col("stem") == stem).select("text").first()
+        return row["text"] if row else None
+
+    def raw_prompts(self, stem: str) -> DataFrame:
+        """pos and prompt of the prompts that one session itself gave, before they were merged."""
+        return self._rows("raw", RAW).where(F.col("stem") == stem).select("pos", "prompt").orderBy("pos")
+
+    def write_recent(self, folder: str, n: int = 20) -> None:
+        """The last n sessions by name, as JSON lines."""
+        self._rows("sessions", SESSIONS).orderBy(F.desc("stem")).limit(n).select("stem", "text").coalesce(1).write.mode("overwrite").json(folder)
+
     def versions(self) -> DataFrame:
         return self._rows("prompts", PROMPTS).groupBy("version", "stem").agg(F.count("*").alias("n_prompts")).orderBy(F.desc("version"))
 
@@ -52,14 +67,35 @@ class ConversationMemory:
         rows = memory.anchors(lines, "line", "text").collect()[:MOST_PROMPTS]
         return self.spark.createDataFrame([(r["anchor"], i) for i, r in enumerate(rows)], "prompt string, pos int")
 
+    def _indexed(self) -> DataFrame:
+        """The vectors of all prompts; only those that aren't in the index yet are embedded, and all again for an embedder of another size."""
+        prompts = self._rows("prompts", PROMPTS).groupBy("prompt").agg(F.max("version").alias("version")).withColumn("id", F.xxhash64("prompt"))
+        folder = f"prompt-vectors-{self.embedder.size}"
+        known = self._rows(folder, VECTORS)
+        new = prompts.join(known.select("id"), "id", "left_anti")
+        if not new.isEmpty():
+            made = new.join(self.embedder(new, "id", "prompt"), "id").select("id", "prompt", "version", "vec")
+            made.coalesce(1).write.mode("append").parquet(f"{self.folder}/{folder}")
+        return prompts.join(self._rows(folder, VECTORS).select("id", "vec"), "id")
+
     def end_session(self, text: str, date: str, time: str, slug: str | None = None) -> str:
-        """Keeps the session and a new version of the prompts: its own ones first, then those of the version before."""
+        """Keeps the session, its prompts and a new version of all: its own ones first, then those of the version before.
+
+        A blank text, and one that gives no prompt, leaves everything as it was and returns an empty name.
+        """
+        if not text.strip():
+            return ""
+        raw = [(r["pos"], r["prompt"]) for r in self._prompts(text).collect()]  # MOST_PROMPTS at most
+        if not raw:
+            return ""
         one = self.spark.createDataFrame([(date, time, text)], "date string, time string, body string")
         named = one.withColumn("slug", F.lit(slug) if slug else slug_of(F.col("body")))
         named = named.withColumn("stem", F.concat_ws("-", "date", "slug", F.regexp_replace("time", ":", "")))
         stem = named.first()["stem"]
         whole = F.concat(F.lit("# Session: "), F.col("date"), F.lit(" "), F.col("time"), F.lit(" — "), F.col("slug"), F.lit("\n\n"), F.col("body"))
-        self._add(memory.merged(self._prompts(text), self.latest_prompts(), "prompt").orderBy("side", "pos"), stem)
+        own = self.spark.createDataFrame([(stem, *r) for r in raw], RAW)
+        self._add(memory.merged(own.select("prompt", "pos"), self.latest_prompts(), "prompt").orderBy("side", "pos"), stem)
+        own.coalesce(1).write.mode("append").parquet(f"{self.folder}/raw")
         named.select("stem", "date", "time", "slug", whole.alias("text")).write.mode("append").parquet(f"{self.folder}/sessions")
         return stem
 
@@ -78,9 +114,9 @@ class ConversationMemory:
 
     def recall(self, query: str, top_k: int = 5, least: float = 0.35) -> DataFrame:
         """prompt and score of the prompts most like the query."""
-        prompts = self._rows("prompts", PROMPTS).groupBy("prompt").agg(F.max("version").alias("version")).withColumn("id", F.xxhash64("prompt"))
+        prompts = self._indexed()
         asked = self.spark.createDataFrame([(0, query)], "id bigint, query string")
-        near = retrieve.cosine_top_k(self.embedder(asked, "id", "query"), self.embedder(prompts, "id", "prompt"), top_k)
+        near = retrieve.cosine_top_k(self.embedder(asked, "id", "query", query=True), prompts.select("id", "vec"), top_k)
         return near.where(F.col("score") >= least).join(prompts.select(F.col("id").alias("other"), "prompt", "version"), "other").select("prompt", "version", "score", "rank_no")
 
     def recall_deep(self, query: str, top_k: int = 8) -> DataFrame:

@@ -39,6 +39,7 @@ def anchors(prompts: DataFrame, key: str, text: str, n: int = 30) -> DataFrame:
 
     A run of 4 to 6 Han characters counts as both. Lines count in the order of `key`.
     """
+    # Fixed value: the labels of questions and answers, and list numbers, before a line.
     line = F.regexp_replace(text, r"^(Q\d*[：:]|A\d*[：:]|\d+\.\s*)", "")
     han = F.regexp_extract_all(line, F.lit(f"{HAN}{{2,6}}"), F.lit(0))
     mixed = F.regexp_extract_all(line, F.lit(r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}A-Za-z]{4,12}"), F.lit(0))
@@ -58,6 +59,7 @@ def merged(new: DataFrame, old: DataFrame, text: str) -> DataFrame:
 def prompt_lines(documents: DataFrame, key: str, text: str, shortest: int = 4, longest: int = 40, n: int = 15) -> DataFrame:
     """key, line_no, line: the first n lines of fitting length, without list numbering and headings."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    # Fixed value: the numbering before a line.
     bare = F.transform(lines, lambda x: strip(F.regexp_replace(x, r"^[\d.\-*\s]+", "")))
     fit = F.slice(F.filter(bare, lambda x: (F.length(x) >= shortest) & (F.length(x) <= longest) & ~x.startswith("#")), 1, n)
     return documents.select(key, F.posexplode(fit).alias("line_no", "line"))
