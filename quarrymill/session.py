@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,7 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _tidy.setdefault("paths", []).append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that written() made and that nothing reads any more, before the driver ends."""
+    path = getattr(df, "written_to", None)
+    if path:
+        _tidy["paths"] = [(s, p) for s, p in _tidy.get("paths", []) if p != path]
+        _delete(df.sparkSession, path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -40,9 +50,20 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def bounded_broadcast(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """df to be broadcast if it has no more than so many rows (of a few numbers each), else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = 2_000_000, most_bytes: int = 128 << 20) -> DataFrame:
+    """df to be broadcast if it has no more than so many rows and bytes, else as it is, for a shuffled join."""
+    held = df.agg(F.count("*").alias("n"), F.sum(sum((_bytes(F.col(f"`{name}`"), kind) for name, kind in df.dtypes), F.lit(0))).alias("b")).first()
+    return F.broadcast(df) if held["n"] <= rows and (held["b"] or 0) <= most_bytes else df
+
+
+def _bytes(column: Column, kind: str) -> Column:
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if kind == "array<string>":
+        return F.coalesce(F.aggregate(column, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 8), F.lit(0))
+    if kind.startswith("array"):
+        return F.coalesce(F.size(column), F.lit(0)) * 8 + 8
+    return F.lit(8)
 
 
 _tidy: dict[str, list[tuple[SparkSession, str]]] = {}
@@ -50,10 +71,16 @@ _tidy: dict[str, list[tuple[SparkSession, str]]] = {}
 
 @atexit.register
 def drop_written() -> None:
+    """Deletes all tables that written() made; between the queries of a long session, when their results have been taken."""
     for spark, path in _tidy.pop("paths", []):
-        try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(conf).delete(hadoop, True)
-        except Exception:  # the session has ended: the folder belongs to the cluster
+        if not _delete(spark, path):
             return
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(hadoop.getFileSystem(conf).delete(hadoop, True)) or True
+    except Exception:  # the session has ended: the folder belongs to the cluster
+        return False

@@ -1,15 +1,18 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.config import Chunking, Retrieval, from_env
+from quarrymill.config import Chunking, Retrieval, Settings, env_file, from_env
 from quarrymill.conversation import ConversationMemory
 from quarrymill.errors import ConfigError, IndexStoreError, IngestionError, RetrievalError
 from quarrymill.functions import text as T
 from quarrymill.functions.vectors import unit
-from quarrymill.hooks import HashingEmbedder, ModelEmbedder, jaccard_scorer, retried
+from quarrymill.hooks import HashingEmbedder, ModelEmbedder, ModelScorer, by_index, embedder_for, jaccard_scorer, retried
 from quarrymill.operators import bm25, index, memory, retrieve
-from quarrymill.sources.files import html_text, read_file, read_folder, write_markdown
+from quarrymill.session import bounded_broadcast, dropped, written
+from quarrymill.sources.files import each_file, html_text, read_evaluation, read_file, read_folder, topic_number, write_markdown
 from quarrymill.streaming.ingest import ingest_stream
 from quarrymill.system import RetrievalSystem
 
@@ -19,13 +22,14 @@ def values(spark, rows, schema, column):
 
 
 def test_terms(spark):
-    rows = [("Hello, World foo",), ("向量检索",), ("用BM25检索",), ("好 a",), ("",), (None,)]
-    assert values(spark, rows, "t string", T.terms(F.col("t"))) == [["hello", "world", "foo"], ["向量", "量检", "检索"], ["bm25", "检索"], ["a"], [], None]
+    rows = [("Hello, World foo",), ("向量检索",), ("用BM25检索",), ("好 a",), ("",), (None,), ("İstanbul ok",), ("好 İstanbul ok",)]
+    found = [["hello", "world", "foo"], ["向量", "量检", "检索"], ["bm25", "检索"], ["a"], [], None, ["i̇stanbul", "ok"], ["i̇stanbul", "ok"]]
+    assert values(spark, rows, "t string", T.terms(F.col("t"))) == found
 
 
 def test_markdown(spark):
-    rows = [("![a](b) x [t](u)\n\n\n\ny ",), ("[a](b\nc)",)]
-    assert values(spark, rows, "t string", T.plain_markdown(F.col("t"))) == ["x t\n\ny", "a"]
+    rows = [("![a](b) x [t](u)\n\n\n\ny ",), ("[a](b\nc)",), ("![x](y\nz)",), ("![a]b](c) x",), ("[a[b]](c) [d\ne](f)",), ("a\n\nb\n\n\nc",)]
+    assert values(spark, rows, "t string", T.plain_markdown(F.col("t"))) == ["x t\n\ny", "[a](b\nc)", "![x](y\nz)", "x", "[a[b]](c) d\ne", "a\n\nb\n\nc"]
 
 
 def test_names(spark):
@@ -86,13 +90,26 @@ def test_budget_keeps_the_first(spark):
     assert [r["rank"] for r in retrieve.within_budget(rows, "g", "rank", 10).collect()] == [1]
 
 
-def test_settings():
+def test_settings(tmp_path):
     assert from_env({"QUARRYMILL_TOP_K": "7", "QUARRYMILL_HYBRID": "是"}).retrieval == Retrieval(top_k=7, hybrid=True)
     for env in ({"QUARRYMILL_TOP_K": "x"}, {"QUARRYMILL_ALPHA": "2"}):
         with pytest.raises(ConfigError):
             from_env(env)
     with pytest.raises(ConfigError):
         Chunking(10, 10)
+    (tmp_path / ".env").write_text("# a comment\nexport QUARRYMILL_TOP_K = '9'\nQUARRYMILL_OVERLAP=7\n")
+    assert from_env(env_file(str(tmp_path / ".env"))) == Settings(Chunking(overlap=7), Retrieval(top_k=9))
+    assert env_file(str(tmp_path / "none")) == {}
+
+
+def test_broadcast_only_within_bounds(spark):
+    df = spark.createDataFrame([("x" * 100, [1, 2], ["a"])] * 50, "s string, n array<int>, t array<string>")
+    plan = lambda x: x._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(bounded_broadcast(df)) and "broadcast" not in plan(bounded_broadcast(df, 49)) and "broadcast" not in plan(bounded_broadcast(df, 50, 5000))
+    out = written(df, "some")
+    dropped(out)
+    with pytest.raises(Exception):
+        out.count()
 
 
 def test_retry():
@@ -110,7 +127,7 @@ def test_retry():
 def test_model_embedder(spark):
     rows = spark.createDataFrame([(i, "x" * i) for i in range(5)], "id bigint, t string")
     embedder = ModelEmbedder(lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), 2, batch=2, prefix=">")
-    assert {r.id: r.vec for r in embedder(rows, "id", "t").collect()} == {i: [i + 1.0, 1.0] for i in range(5)}
+    assert {r.id: r.vec for r in embedder(rows, "id", "t", query=True).collect()} == {i: [i + 1.0, 1.0] for i in range(5)}
 
 
 def test_snapshots(spark, tmp_path):
@@ -143,7 +160,7 @@ def test_system(spark, tmp_path):
     with pytest.raises(RetrievalError):
         system.search(asked)
     assert system.ingest(files) == {"files": 3, "chunks": 3, "skipped": 0, "updated": 0}
-    assert system.ingest(files) == {"files": 3, "chunks": 0, "skipped": 3, "updated": 0}
+    assert system.ingest(files) == {"files": 0, "chunks": 0, "skipped": 3, "updated": 0}
     changed = files.withColumn("text", F.concat("text", F.lit("!")))
     assert system.ingest(changed)["updated"] == 0
     assert system.ingest(changed, force=True)["updated"] == 3
@@ -153,6 +170,9 @@ def test_system(spark, tmp_path):
     told = asked.withColumn("said", F.lit("before"))
     answers = {r.qid: r.answer for r in system.answers(told, lambda context, question: f"{question}? {len(context) > 20} {context[:6]}", "said").collect()}
     assert answers[0].startswith("cats? True before") and answers[0].split("参考来源: ")[1].endswith("a.md")
+    blank = files.where("path like '%b.txt'").withColumn("text", F.lit(" \n")).unionByName(spark.createDataFrame([("/new", " ", {})], files.schema))
+    assert system.ingest(blank)["skipped"] == 1 and system.sources().count() == 3
+    assert system.ingest(blank, force=True) == {"files": 1, "chunks": 0, "skipped": 0, "updated": 1} and system.sources().count() == 2
     source = system.sources().first().source
     assert (system.remove(source), system.remove(source)) == (1, 0)
     other = RetrievalSystem(spark, system.settings, HashingEmbedder(8))
@@ -160,17 +180,82 @@ def test_system(spark, tmp_path):
         other.chunks()
 
 
+def test_prefix_for_queries_and_retry(spark):
+    rows = spark.createDataFrame([(0, "ab")], "id bigint, t string")
+
+    def load():
+        calls = []
+
+        def model(texts):
+            calls.append(1)
+            if len(calls) < 3:
+                raise OSError("connection reset")
+            return np.array([[len(t)] for t in texts])
+
+        return model
+
+    embedder = ModelEmbedder(load, 1, prefix=">>", pause=0.0)
+    assert (embedder(rows, "id", "t").first().vec, embedder(rows, "id", "t", query=True).first().vec) == ([2.0], [4.0])
+    assert embedder_for("local", 1, load).prefix and not embedder_for("api", 1, load).prefix and embedder_for("hashing", 8).size == 8
+    with pytest.raises(ConfigError):
+        embedder_for("local", 1)
+    assert by_index([{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}], 1).tolist() == [[1.0], [2.0]]
+
+
+def test_a_re_scorer_that_fails_keeps_the_order(spark):
+    rows = spark.createDataFrame([("q", 1, "a"), ("q", 2, "bb"), ("z", 1, "bad"), ("z", 2, "cccc")], "query string, rank int, text string")
+
+    def load():
+        def model(queries, texts):
+            if "bad" in texts:
+                raise ValueError("too bad")
+            return [len(t) for t in texts]
+
+        return model
+
+    def final(scorer):
+        return {(r["query"], r["final_rank"]): r["text"] for r in retrieve.reranked(rows, "query", "rank", 2, scorer).collect()}
+
+    assert final(ModelScorer(load, batch=1)) == {("q", 1): "bb", ("q", 2): "a", ("z", 1): "bad", ("z", 2): "cccc"}
+
+    def fails(pairs):
+        raise RetrievalError("no model")
+
+    assert final(fails) == final(None) == {("q", 1): "a", ("q", 2): "bb", ("z", 1): "bad", ("z", 2): "cccc"}
+
+
+def test_files_that_fail_are_passed_over(spark, tmp_path):
+    for name in ("a.pdf", "b.pdf", "c.pdf"):
+        (tmp_path / name).write_text(name)
+
+    def convert(path, content):
+        if path.endswith("b.pdf"):
+            raise ValueError("damaged")
+        if path.endswith("c.pdf"):
+            time.sleep(5)
+        return content.decode() + "!"
+
+    found = read_folder(spark, str(tmp_path), rich=each_file(convert, 1.0)).collect()
+    assert [r.text for r in found] == ["a.pdf!"]
+
+
+def test_evaluation_files_and_topics(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"mrr": 1,\n "per_query": [{"qid": 1, "rank": 0}, {"qid": 2, "rank": -1}]}')
+    assert [tuple(r) for r in read_evaluation(spark, str(tmp_path / "r.json")).orderBy("qid").collect()] == [("r.json", 1, 0), ("r.json", 2, -1)]
+    assert values(spark, [("/x/doc_017-3.md",), ("/9/none.txt",)], "p string", topic_number(F.col("p"))) == [17, None]
+
+
 def test_stream(spark, tmp_path):
     from quarrymill.config import Settings
 
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.md").write_text("first")
+    (folder / "a.md").write_bytes("向量检索".encode("gbk"))
     system = RetrievalSystem(spark, Settings(folder=str(tmp_path / "index")))
     for name in ("b.md", "c.md"):
         ingest_stream(spark, str(folder), system, str(tmp_path / "state")).awaitTermination()
         (folder / name).write_text(name)
-    assert system.sources().count() == 2
+    assert system.sources().count() == 2 and "向量检索" in {r.text for r in system.chunks().collect()}
 
 
 def test_memory(spark, tmp_path):
@@ -183,7 +268,26 @@ def test_memory(spark, tmp_path):
     assert "Markdown" not in [r.prompt for r in store.latest_prompts().collect()]
     assert [r.version for r in store.versions().collect()] == [3, 2, 1]
     assert store.recall_deep("向量检索").first().score == 2
+    embedded = []
+    store.embedder = Counting(store.embedder, embedded)
     assert store.recall("Markdown").first().prompt == "Markdown"
+    assert store.recall("Markdown").first().prompt == "Markdown" and sum(embedded) == 3  # two questions, and the prompts once
+    assert store.end_session(" \n", "2026-01-04", "10:00:00") == "" and store.sessions().count() == 2
+    assert store.session("2026-01-01-first-100000").endswith("向量检索很快") and store.session("none") is None
+    assert [r.prompt for r in store.raw_prompts("2026-01-02-markdown-splitting-110000").collect()] == ["Markdown", "splitting"]
+    store.write_recent(str(tmp_path / "recent"), 1)
+    assert [r.stem for r in spark.read.json(str(tmp_path / "recent")).collect()] == ["2026-01-02-markdown-splitting-110000"]
+
+
+class Counting:
+    """An embedder that notes its calls."""
+
+    def __init__(self, embedder, calls):
+        self.embedder, self.calls, self.size = embedder, calls, embedder.size
+
+    def __call__(self, rows, key, text, query=False):
+        self.calls.append(1)
+        return self.embedder(rows, key, text, query)
 
 
 def test_report(spark):
