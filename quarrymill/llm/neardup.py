@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.session import bounded_broadcast, written
+from quarrymill.session import bounded_broadcast, dropped, written
 
 _BASE = 0x9E3779B97F4A7C15
 _SPAN = 1 << 18
@@ -228,22 +228,19 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def groups(members: DataFrame, links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """kind, id, group_id (the least id of all that hang together) and n_links (links of its text to other texts) of every member.
 
     Connected components by alternating stars: every round links each text to the least one among its greater
-    neighbours, then among its smaller ones, until nothing changes. A round is two shuffles of the links, written down.
+    neighbours, then among its smaller ones, until nothing changes. A round is two shuffles of the links, written down;
+    their number grows with the logarithm of the longest chain.
     """
     edges = written(links.select(_pack("kind", "rep_a").alias("a"), _pack("kind", "rep_b").alias("b")), "links")
-    state = None
-    for _ in range(most_rounds):
-        edges = written(_small_star(_large_star(edges)), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"the groups didn't settle in {most_rounds} rounds")
+    before = now = None
+    while now is None or now != before:
+        last, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        dropped(last)
+        before, now = now, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     roots = edges.select(F.col("b").alias("rep"), F.col("a").alias("root"))
     both = links.select("kind", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("n_links"))
     packed = members.withColumn("packed", _pack("kind", "rep")).join(roots.withColumnRenamed("rep", "packed"), "packed", "left")
