@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 from datetime import datetime
 
@@ -16,6 +17,9 @@ from quarrymill.sources.files import read_folder
 from quarrymill.system import RetrievalSystem
 
 
+HISTORY = 6  # messages before a question that go with it
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quarrymill")
     p.add_argument("--folder", help="of the index, or of the memory")
@@ -27,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
     query = sub.add_parser("query")
     query.add_argument("question")
     query.add_argument("--top-k", type=int)
+    chat = sub.add_parser("chat", help="questions from standard input; /exit, /clear, /sources, /stats and /save are commands")
+    chat.add_argument("--memory", help="folder of the memory that /save adds to")
     sub.add_parser("info")
     sub.add_parser("list-sources")
     sub.add_parser("remove").add_argument("source")
@@ -60,6 +66,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         asked = spark.createDataFrame([(0, args.question)], "qid bigint, query string")
         for hit in system.search(asked).orderBy("rank_no").collect():
             print(f"{hit.rank_no}. {hit.score:.4f} {hit.source}\n{hit.text}\n")
+    elif args.command == "chat":
+        run_chat(system, sys.stdin, ConversationMemory(spark, args.memory) if args.memory else None)
     elif args.command == "info":
         print(system.info().first().asDict())
     elif args.command == "list-sources":
@@ -72,6 +80,31 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     return 0
 
 
+def run_chat(system: RetrievalSystem, lines: Iterable[str], memory: ConversationMemory | None, answer: Callable[[str, str], str] | None = None) -> list[tuple[str, str]]:
+    """Answers the lines one by one, with the last HISTORY messages before each; without `answer` the context found is shown."""
+    said: list[tuple[str, str]] = []
+    for line in map(str.strip, lines):
+        if line == "/exit":
+            break
+        if line == "/clear":
+            said.clear()
+        elif line == "/sources":
+            print("\n".join(r.source for r in system.sources().orderBy("source").toLocalIterator()))
+        elif line == "/stats":
+            print(system.info().first().asDict())
+        elif line == "/save":
+            now = datetime.now()
+            text = "\n".join(f"{who}: {what}" for who, what in said)
+            print(memory.end_session(text, now.strftime("%Y-%m-%d"), now.strftime("%H:%M:%S")) if memory and said else "nothing is saved")
+        elif line:
+            before = "\n".join(f"{who}: {what}" for who, what in said[-HISTORY:])
+            asked = system.spark.createDataFrame([(0, line, before)], "qid bigint, query string, said string")
+            reply = system.answers(asked, answer or (lambda context, question: context), "said").first()["answer"]
+            print(reply)
+            said += [("user", line), ("assistant", reply)]
+    return said
+
+
 def run_memory(args: argparse.Namespace, memory: ConversationMemory) -> int:
     now = datetime.now()
     if args.memory == "end":

@@ -125,7 +125,7 @@ SQL = {
         SELECT qid, unnest(list_concat(regexp_extract_all(line, '{_H}{{2,6}}'), regexp_extract_all(line, '[\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}A-Za-z]{{4,12}}'))) AS anchor,
             generate_subscripts(list_concat(regexp_extract_all(line, '{_H}{{2,6}}'), regexp_extract_all(line, '[\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}A-Za-z]{{4,12}}')), 1) AS place FROM lines
     ), top AS (SELECT anchor, count(*) AS n_seen, min(qid * 100000 + place) AS first FROM each GROUP BY anchor ORDER BY n_seen DESC, first LIMIT 30)
-    SELECT anchor, n_seen FROM top WHERE anchor NOT IN ('什么', '怎么', '为什么', '如何', '可以', '应该', '需要', '这个', '那个', '或者')""",
+    SELECT anchor, n_seen FROM top WHERE anchor NOT IN ({', '.join(map(repr, memory.STOP_WORDS))})""",
     "prompt_lines": rf"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), bare AS (
         SELECT doc_id, i, {sql_strip(f"regexp_replace({sql_strip('x')}, '^[0-9.*{BLANK[1:-1]}-]+', '')")} AS line FROM lines WHERE {sql_strip('x')} <> ''
     ) SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT - 1 AS line_no FROM bare WHERE length(line) BETWEEN 4 AND 40 AND NOT starts_with(line, '#')) WHERE line_no < 15""",

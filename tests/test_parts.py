@@ -224,6 +224,19 @@ def test_a_re_scorer_that_fails_keeps_the_order(spark):
     assert final(fails) == final(None) == {("q", 1): "a", ("q", 2): "bb", ("z", 1): "bad", ("z", 2): "cccc"}
 
 
+def test_chat(spark, tmp_path, capsys):
+    from quarrymill.cli import run_chat
+
+    system = RetrievalSystem(spark, Settings(retrieval=Retrieval(top_k=1), folder=str(tmp_path / "i")))
+    system.ingest(spark.createDataFrame([("a.md", "cats purr"), ("b.md", "dogs bark")], "path string, text string"))
+    store = ConversationMemory(spark, str(tmp_path / "m"))
+    said = run_chat(system, ["cats purr", "", "dogs bark", "/sources", "/stats", "/save", "/exit", "never asked"], store, lambda context, question: f"{question}|{len(context.splitlines())}")
+    assert [who for who, _ in said] == ["user", "assistant"] * 2 and said[1][1].startswith("cats purr|") and said[3][1].split("参考来源: ")[1] == "b.md"
+    assert int(said[3][1].split("|")[1].split()[0]) > int(said[1][1].split("|")[1].split()[0])  # what was said before comes along
+    assert "a.md\nb.md" in capsys.readouterr().out and store.sessions().count() == 1
+    assert run_chat(system, ["cats", "/clear", "/save"], None) == []
+
+
 def test_files_that_fail_are_passed_over(spark, tmp_path):
     for name in ("a.pdf", "b.pdf", "c.pdf"):
         (tmp_path / name).write_text(name)
