@@ -188,7 +188,7 @@ def _packed() -> Column:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, run: int) -> DataFrame:
-    ids = bounded_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    ids = bounded_broadcast(written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "pair-ids"))
     plain = texts.select(F.col("kind"), F.col("id").alias("rep"), "text").select(_packed().alias("rep"), F.col("text").alias("plain")).join(ids, "rep", "left_semi")
     both = (
         bounded_broadcast(pairs).join(plain.select(F.col("rep").alias("a"), F.col("plain").alias("plain_a")), "a")
