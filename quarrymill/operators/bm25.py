@@ -38,12 +38,12 @@ def scores(queries: DataFrame, qid: str, query: str, docs: DataFrame, key: str,
     """qid, key and score of every document that shares a term with the query; repeated query terms count once.
 
     The collection is read once: of each document its length stays, as the count of an empty term, and the counts of
-    the terms that are asked for.
+    the terms that are asked for. A null text counts as a document without length.
     """
     asked = queries.select(qid, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
     spark = docs.sparkSession
     wanted = bounded_broadcast(asked.select("term").distinct().unionByName(spark.createDataFrame([("",)], "term string")))
-    every = collection(docs, key, text).select(key, "length", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    every = collection(docs, key, text).select(key, "length", F.explode(F.concat(F.coalesce("terms", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
     counted = written(every.join(wanted, "term", "left_semi").groupBy("term", key, "length").agg(F.count("*").alias("tf")), "postings")
     total = counted.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")).first()
     n, average = F.lit(total["n"]), F.lit(total["average"])

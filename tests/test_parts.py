@@ -56,6 +56,15 @@ def test_bm25_candidates_without_signal(spark):
     assert found[2] > found[1] > 0 and found[3] == 0
 
 
+def test_bm25_of_a_collection_with_null_and_empty_texts(spark):
+    docs = [(1, "cat dog dog"), (2, None), (3, ""), (4, "cat"), (5, "bird bird")]
+    found = {(r.qid, r.id): r.score for r in bm25.scores(spark.createDataFrame([(0, "dog Dog cat"), (1, None), (2, "fish")], "qid int, q string"), "qid", "q", spark.createDataFrame(docs, "id int, t string"), "id", "t").collect()}
+    lengths = [3, 0, 1, 2]
+    average, idf = sum(lengths) / 4, lambda df: np.log(1 + (5 - df + 0.5) / (df + 0.5))
+    part = lambda df, tf, dl: idf(df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / average))
+    assert found == {(0, 1): pytest.approx(part(1, 2, 3) + part(2, 1, 3)), (0, 4): pytest.approx(part(2, 1, 1))}
+
+
 def test_cosine_by_numpy_and_by_expressions(spark):
     rng = np.random.default_rng(1)
     data = [(i, rng.normal(size=4).tolist()) for i in range(30)] + [(30, [0.0] * 4), (31, None)]
