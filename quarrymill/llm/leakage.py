@@ -85,32 +85,33 @@ def leaks(
     table = written(item_table(items, stretch, dense_stretch, dense_langs), "items")
     passes = max(1, -(-(table.agg(F.sum(F.size("grams"))).first()[0] or 0) // gram_limit))
     texts = documents.select("doc_id", F.xxhash64("text").alias("copy"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    turn = F.pmod(F.xxhash64("item"), F.lit(passes)).cast("int").alias("turn")
     hits = None
     for k in range(passes):
-        own = table.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else table
-        found = texts.mapInArrow(_finder(_hashes(own, "grams"), _hashes(own, "runs")), "doc bigint, copy bigint, near string, grams array<bigint>")
+        own = table.where(turn == k)
+        found = texts.mapInArrow(_finder(_hashes(own, "grams"), _hashes(own, "runs")), "doc bigint, copy bigint, near string, grams array<bigint>").withColumn("turn", F.lit(k))
         hits = found if hits is None else hits.unionByName(found)
     hits = written(hits, "leak-hits")
 
     size = F.length("letters").alias("size")
-    places = table.select("item", size, "span", F.posexplode("grams").alias("at", "gram"))
-    met = hits.select("doc", "copy", F.explode("grams").alias("gram")).distinct()
+    places = table.select("item", turn, size, "span", F.posexplode("grams").alias("at", "gram"))
+    met = hits.select("doc", "copy", "turn", F.explode("grams").alias("gram")).distinct()
     spread = met.groupBy("gram").agg(F.count_distinct("doc").alias("docs"))
     known = places.join(spread, "gram").groupBy("item").applyInPandas(_rare(min(share, edited_share)), "item bigint, at int, rare boolean")
-    matches = met.join(places, "gram").join(known, ["item", "at"])
+    matches = met.join(places, ["gram", "turn"]).join(known, ["item", "at"])
     seeded = Window.partitionBy("doc", "copy", "item")
     matches = matches.withColumn("seeded", F.max("rare").over(seeded)).where("seeded")
 
     before = F.lag("at").over(seeded.orderBy("at"))
     new = F.least(F.col("span"), F.coalesce(F.col("at") - before, F.col("span")))
-    covered = matches.select("doc", "copy", "item", "size", "span", new.alias("new")).groupBy("doc", "copy", "item", "size", "span").agg(F.sum("new").alias("covered"))
-    covered = written(covered.join(hits.select("doc", "copy", F.length("near").alias("width")).distinct(), ["doc", "copy"]), "covered")
+    covered = matches.select("doc", "copy", "turn", "item", "size", new.alias("new")).groupBy("doc", "copy", "turn", "item", "size").agg(F.sum("new").alias("covered"))
+    covered = written(covered.join(hits.select("doc", "copy", "turn", F.length("near").alias("width")).distinct(), ["doc", "copy", "turn"]), "covered")
     # An item in many or long documents is aligned in as many tasks as that takes.
     load = written(covered.groupBy("item").agg(F.sum(F.col("width") * F.col("size")).alias("cells")), "load")
     parts = load.select("item", F.ceil(F.col("cells") / TASK_CELLS).cast("int").alias("parts"))
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (load.agg(F.sum("cells")).first()[0] or 0) // TASK_CELLS)
     split = covered.join(bounded_broadcast(parts), "item").withColumn("part", F.pmod(F.xxhash64("doc", "copy"), "parts"))
-    pairs = split.join(hits.select("doc", "copy", "near").dropDuplicates(["doc", "copy"]), ["doc", "copy"]).join(bounded_broadcast(table.select("item", "letters"), 100_000), "item")
+    pairs = split.join(hits.select("doc", "copy", "turn", "near").dropDuplicates(["doc", "copy", "turn"]), ["doc", "copy", "turn"]).join(bounded_broadcast(table.select("item", "letters"), 100_000), "item")
     aligned = pairs.select("doc", "item", "covered", "size", "near", "letters", "part").repartition(tasks, "item", "part").sortWithinPartitions("item")
     scored = aligned.mapInPandas(_align, "doc bigint, item bigint, covered bigint, size int, alignment int")
     best = scored.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("covered").alias("covered"), F.max("size").alias("item_chars"), F.max("alignment").alias("alignment"))

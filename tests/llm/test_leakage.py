@@ -68,7 +68,8 @@ def aligned(item, text):
     return best
 
 
-def test_edited_copies_are_found_by_their_alignment(spark):
+@pytest.mark.parametrize("limit", [4_000_000, 300])
+def test_edited_copies_are_found_by_their_alignment(spark, limit):
     rnd = random.Random(8)
     words = lambda n: ["".join(rnd.choices(LETTERS, k=rnd.randrange(3, 9))) for _ in range(n)]
     items, docs = [(i, " ".join(words(40)), "en") for i in range(5)], []
@@ -78,7 +79,7 @@ def test_edited_copies_are_found_by_their_alignment(spark):
             at = rnd.randrange(len(edited))
             edited[at : at + rnd.randrange(2)] = words(rnd.randrange(2))
         docs.append((d, " ".join(words(30) + edited + words(30))))
-    found = {(r.doc_id, r.item_id): r for r in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string, lang string")).collect()}
+    found = {(r.doc_id, r.item_id): r for r in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string, lang string"), gram_limit=limit).collect()}
     plain, whole, covered = {i: letters(t) for i, t, _ in items}, brute(docs, items), covering(docs, items)
     score = {(d, d % 5): aligned(plain[d % 5], letters(t)) for d, t in docs}
     assert {k for k, r in found.items() if r.kind == "copied"} == whole
