@@ -87,14 +87,33 @@ class Model:
 
     def __init__(self, counts: pa.Table, smoothing: float) -> None:
         names, n = counts["token"].to_pylist(), np.stack([counts[f"n{k}"].to_numpy() for k in LEVELS], axis=1).astype(float)
-        self.place = {t: i for i, t in enumerate(names)}
         total = n.sum(axis=0)
-        self.logs = np.log((n + smoothing) / (total + smoothing * max(1, len(names))))
+        logs = np.log((n + smoothing) / (total + smoothing * max(1, len(names))))
+        self.adds = dict(zip(names, map(tuple, logs.tolist())))
+        self.runs: dict[str, tuple[float, float, float]] = {}
         self.prior = np.log((total + 1) / (total.sum() + len(LEVELS)))
 
-    def posterior(self, paragraph: str) -> np.ndarray:
-        found = [i for t in tokens(paragraph) if (i := self.place.get(t)) is not None]
-        return self.prior + self.logs[found].sum(axis=0)
+    def best(self, paragraph: str) -> int:
+        """The place of the level of the highest posterior likelihood. What a run of letters adds to each is kept for the next time."""
+        one, two, three = self.prior.tolist()
+        if len(self.runs) > 200_000:
+            self.runs.clear()
+        for run in _WORD.findall(paragraph.lower()):
+            adds = self.runs.get(run)
+            if adds is None:
+                a = b = c = 0.0
+                for token in tokens(run):
+                    if held := self.adds.get(token):
+                        a += held[0]
+                        b += held[1]
+                        c += held[2]
+                adds = a, b, c
+                if len(run) <= 24:  # longer ones hardly come again
+                    self.runs[run] = adds
+            one += adds[0]
+            two += adds[1]
+            three += adds[2]
+        return 0 if one >= two and one >= three else 1 if two >= three else 2
 
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -148,7 +167,7 @@ def _counter(footer: frozenset[str], model: Model | None):
             for level, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 met = set()
                 for paragraph in prose(text, footer):
-                    own = level if model is None else LEVELS[int(model.posterior(paragraph).argmax())]
+                    own = level if model is None else LEVELS[model.best(paragraph)]
                     for token in tokens(paragraph):
                         held = sums.setdefault((token, own), [0, 0])
                         held[0] += 1
@@ -177,7 +196,7 @@ def _leveller(model: Model | None, footer: frozenset[str]):
             for i, text in enumerate(batch.column(1).to_pylist()):
                 part = [0] * len(LEVELS)
                 for paragraph in prose(text, footer):
-                    best = int(model.posterior(paragraph).argmax()) if model else 0
+                    best = model.best(paragraph) if model else 0
                     part[best] += len(paragraph)
                 if any(part):
                     rows.append(i)
