@@ -6,7 +6,7 @@ turn, with a classifier of its own, so that partitions keep their size however m
 entered in its most probable partition and looks for its neighbours in every partition that the classifiers give at least
 the probability `floor`, where all entries are compared exactly. Models are fitted and applied in tasks, a node each; a
 partition beyond a block of entries or queries is searched in blocks. Vectors are shuffled once for each partition they
-are looked up in, and never written.
+are looked up in and, but for the sample, never written.
 """
 
 from __future__ import annotations
